@@ -21,6 +21,8 @@ N_SHARDS = 8
 SEED = 20240611
 #: Text bytes that one bucket aims at; a task holds one bucket at a time.
 BUCKET_BYTES = 16 << 20
+#: So many bucket offsets (16 bytes each) are broadcast at most.
+MAX_BROADCAST_BUCKETS = 100_000
 _OUT_ROWS = 2048
 
 
@@ -93,6 +95,8 @@ def external_shuffle(
     counts = rows.groupBy(bucket).agg(F.count("*").alias(first))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(bucket, F.coalesce(F.sum(first).over(before), F.lit(0)).alias(first))
+    if n_buckets <= MAX_BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)  # 16 bytes a bucket; beyond that Spark picks the join
     return (
         rows.join(starts, bucket)
         .withColumn(place, F.col(first) + F.col(pos))
