@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import licenses, media, mixing, quality, sharding
 
 
 def queries() -> dict:
     found = [
+        licenses.op2_license_scan,
+        media.op3_peak_fingerprints,
         mixing.op5_entropy_balance,
+        quality.op9_ngram_ratio,
         sharding.op10_external_shuffle,
     ]
     return {f.__name__: f for f in found}
