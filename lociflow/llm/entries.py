@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, quality, sharding
+from . import langid, licenses, media, mixing, quality, sharding
 
 
 def queries() -> dict:
     found = [
         licenses.op2_license_scan,
         media.op3_peak_fingerprints,
+        langid.op4_bloom_langid,
         mixing.op5_entropy_balance,
         quality.op9_ngram_ratio,
         sharding.op10_external_shuffle,
