@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, media, mixing, quality, sharding
+from . import langid, licenses, media, mixing, neardup, quality, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         media.op3_peak_fingerprints,
         langid.op4_bloom_langid,
         mixing.op5_entropy_balance,
+        neardup.op6_minhash_hamming,
         quality.op9_ngram_ratio,
         sharding.op10_external_shuffle,
     ]
