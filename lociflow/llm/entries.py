@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, media, mixing, neardup, quality, sharding
+from . import langid, licenses, media, mixing, neardup, quality, sharding, tokens
 
 
 def queries() -> dict:
     found = [
+        tokens.op1_token_ids,
         licenses.op2_license_scan,
         media.op3_peak_fingerprints,
         langid.op4_bloom_langid,
