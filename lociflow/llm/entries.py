@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, media, mixing, neardup, pages, quality, sharding, tokens
+from . import langid, licenses, media, mixing, neardup, pages, pieces, quality, sharding, tokens
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         langid.op4_bloom_langid,
         mixing.op5_entropy_balance,
         neardup.op6_minhash_hamming,
+        pieces.op7_sampled_pieces,
         pages.op8_host_suffixes,
         quality.op9_ngram_ratio,
         sharding.op10_external_shuffle,
