@@ -7,9 +7,10 @@ on some chunk but for ``t_i`` positions, so indexing each chunk with every choic
 positions left out finds every such pair. Candidates are then confirmed on whole shingle sets.
 
 Documents with equal sets are one node from the start. In each bucket, members are first compared
-with the bucket's smallest node only; if the bucket's members are then still in different
-components, the remaining pairs are compared tile by tile on their signatures, and only pairs under
-the distance threshold leave a tile. No bucket is capped.
+with one member only, the one that shares most buckets with others. If the bucket's members are then
+still in different components, the remaining pairs are compared tile by tile: each pair in the first
+index on which its signatures agree, first by signature, then by sets of 32-bit hashes, so that
+nothing but likely links leaves a tile. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -136,38 +137,62 @@ def _index(indexes: list[tuple[int, ...]]):
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
                 node = part.column("node").to_numpy()
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, K).astype(np.uint64)
-                keys = np.empty((len(indexes), len(part)), np.uint64)
-                for i, keep in enumerate(indexes):
-                    h = np.full(len(part), i + 1, np.uint64)
-                    for at16 in keep:
-                        h = (h << np.uint64(16)) ^ (h >> np.uint64(48)) ^ sig[:, at16]
-                        h = h * np.uint64(0x9E3779B97F4A7C15)
-                    keys[i] = _mix(h)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(node, len(indexes)))], ["key", "node"])
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, K)
+                keys = _keys_of(sig, indexes)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(node, len(indexes)))], ["key", "node"])
 
     return run
 
 
-def _tiles(max_diff: int):
+def _keys_of(sig: np.ndarray, indexes: list[tuple[int, ...]]) -> np.ndarray:
+    """Keys (indexes, rows) of signatures (rows, K)."""
+    wide = sig.astype(np.uint64)
+    keys = np.empty((len(indexes), len(sig)), np.uint64)
+    for i, keep in enumerate(indexes):
+        h = np.full(len(sig), i + 1, np.uint64)
+        for at in keep:
+            h = (h << np.uint64(16)) ^ (h >> np.uint64(48)) ^ wide[:, at]
+            h = h * np.uint64(0x9E3779B97F4A7C15)
+        keys[i] = _mix(h)
+    return keys.view(np.int64)
+
+
+def _tiles(plan: Plan, work):
+    """Runs ``work(rows, pairs)`` on each tile; ``pairs`` yields (i, others): row numbers of pairs in
+    different components, near by signature, whose first common index is the tile's own.
+
+    Rows arrive sorted by (key, ti, tj); a tile has two blocks of about ``TILE`` members.
+    """
+    indexes, max_diff = plan.indexes(), plan.max_diff
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by (key, ti, tj); a tile has two blocks of about ``TILE`` members."""
         held: list[pa.RecordBatch] = []
         mark = None
 
-        def pairs() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
+        def tile() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
             node, comp, blk = (rows.column(c).to_numpy() for c in ("node", "comp", "blk"))
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, K)
-            left = np.flatnonzero(blk == mark[1])
-            right = np.flatnonzero(blk == mark[2])
-            for i in left:
-                other = right[(comp[right] != comp[i]) & (node[right] > node[i] if mark[1] == mark[2] else True)]
-                if len(other):
-                    other = other[(sig[other] != sig[i]).sum(axis=1) <= max_diff]
-                if len(other):
-                    a, b = np.minimum(node[i], node[other]), np.maximum(node[i], node[other])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            own = int(np.flatnonzero(_keys_of(sig[:1], indexes)[:, 0] == mark[0])[0])
+            left, right = np.flatnonzero(blk == mark[1]), np.flatnonzero(blk == mark[2])
+
+            def pairs():
+                for i in left:
+                    other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if mark[1] == mark[2] else True)]
+                    if not len(other):
+                        continue
+                    same = sig[other] == sig[i]
+                    near = same.sum(axis=1) >= K - max_diff
+                    other, same = other[near], same[near]
+                    for keep in indexes[:own]:
+                        if not len(other):
+                            break
+                        new = ~same[:, keep].all(axis=1)
+                        other, same = other[new], same[new]
+                    if len(other):
+                        yield i, other
+
+            yield from work(rows, pairs())
 
         for batch in batches:
             key, ti, tj = (batch.column(c).to_numpy() for c in ("key", "ti", "tj"))
@@ -178,16 +203,54 @@ def _tiles(max_diff: int):
                     continue
                 here = (int(key[x]), int(ti[x]), int(tj[x]))
                 if held and here != mark:
-                    yield from pairs()
+                    yield from tile()
                     held.clear()
                 mark = here
                 held.append(batch.slice(x, y - x))
         if held:
-            yield from pairs()
+            yield from tile()
 
     return run
 
 
+def _pending(rows: pa.Table, pairs) -> Iterator[pa.RecordBatch]:
+    """The rows that take part in some pair."""
+    used = np.zeros(len(rows), bool)
+    for i, other in pairs:
+        used[i] = True
+        used[other] = True
+    if used.any():
+        yield from rows.filter(pa.array(used)).combine_chunks().to_batches()
+
+
+def _likely(percent: int):
+    def work(rows: pa.Table, pairs) -> Iterator[pa.RecordBatch]:
+        """Pairs whose 32-bit sets are similar enough; equal hashes can only raise the similarity by
+        the few that collide, which the allowance covers."""
+        node = rows.column("node").to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in rows.column("small").to_pylist()]
+        a, b = [], []
+        for i, other in pairs:
+            for j in other:
+                x, y = sets[i], sets[j]
+                if 100 * min(len(x), len(y)) + 500 < percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True)) + 2
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return work
+
+
+def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "small"])
+
+
 def _confirm(threshold_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int, np.ndarray] = (0, np.zeros(0, np.uint64))
@@ -246,6 +309,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = small
 
 
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
+
+
 class NearDuplicates:
     """Steps of one run; ``docs`` is (id, text)."""
 
@@ -259,22 +326,29 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """Confirmed links (a, b) between nodes, enough of them to give the components."""
         keys = self.nodes.select("node", "sig").mapInArrow(_index(self.plan.indexes()), "key long, node long")
-        heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("members")).filter("members > 1")
-        buckets = stored(keys.join(heads, "key"), "near-buckets")
-        first = buckets.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        sizes = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+        buckets = stored(keys.join(sizes, "key"), "near-buckets")
+        # a group's original shares more buckets with its copies than they do with each other
+        shared = buckets.groupBy("node").agg(F.sum("members").alias("shared"))
+        heads = buckets.join(shared, "node").groupBy("key").agg(F.max(F.struct("shared", "node")).alias("top")).select("key", F.col("top.node").alias("head"))
+        first = stored(buckets.join(heads, "key").filter("node != head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "near-first")
         found = stored(self.confirm(self.close(first)), "near-links")
         comp = components(found)
         named = buckets.filter("members > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).filter("c1 != c2").select("key", "m")
-        rest = named.filter("node != head").join(mixed, "key").join(self.nodes.select("node", "sig"), "node")
+        rest = named.join(mixed, "key").join(self.nodes.select("node", "sig"), "node")
         n_blocks = F.ceil(F.col("m") / TILE).cast("int")
         blk = F.pmod(F.xxhash64("node", "key"), n_blocks).cast("int")
         tiled = rest.select("key", "node", "comp", "sig", blk.alias("blk"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("o"))
         tiled = tiled.select("key", "node", "comp", "sig", "blk", F.least("blk", "o").alias("ti"), F.greatest("blk", "o").alias("tj"))
-        tiled = tiled.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-        second = tiled.mapInArrow(_tiles(self.plan.max_diff), "a long, b long").distinct()
-        more = stored(self.confirm(second.join(first, ["a", "b"], "left_anti")), "near-links")
+        schema = "key long, node long, comp long, sig binary, blk int, ti int, tj int"
+        pending = stored(_by_tile(tiled).mapInArrow(_tiles(self.plan, _pending), schema), "near-pending")
+        wanted = pending.select("node").distinct().join(self.nodes.select("node", "id"), "node")
+        small = self.texts_of(stored(wanted, "near-wanted")).mapInArrow(_small_sets, "node long, small binary")
+        second = _by_tile(pending.join(small, "node")).mapInArrow(_tiles(self.plan, _likely(self.percent)), "a long, b long").distinct()
+        more = stored(self.confirm(second), "near-links")
         drop_stored(buckets)
+        drop_stored(pending)
         return found.union(more)
 
     def close(self, pairs: DataFrame) -> DataFrame:
