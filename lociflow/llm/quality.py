@@ -103,10 +103,12 @@ def judge(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD, id_
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines_"),
         repeated_words(w, s).cast("long").alias("n_repeat_words_"),
         F.when(n > 0, total / (2 * n - 1)).otherwise(0.0).alias("score_"),
+        # a filter on the verdict may not be pushed below this: it would repeat the array work per element
+        F.monotonically_increasing_id().alias("at_"),
     )
     failed = (F.col("n_words_") < MIN_WORDS) | (100 * F.col("n_repeat_words_") > MAX_REPEAT_PERCENT * F.col("n_words_"))
     fields = [F.col(f"{c}_").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    verdict = F.struct(*fields, failed.alias("base_failed"), (~failed & (F.col("score_") >= threshold)).alias("kept"), F.col("score_").alias("score"))
+    verdict = F.struct(*fields, failed.alias("base_failed"), (~failed & (F.col("score_") >= threshold) & (F.col("at_") >= 0)).alias("kept"), F.col("score_").alias("score"))
     return counts.select(*[col(c) for c in docs.columns], verdict.alias(out))
 
 
