@@ -18,8 +18,9 @@ from .common import WORD, col, fresh, stored
 BUCKETS, ALPHA = 1 << 14, 1.0
 #: The trusted model is fitted on so many labelled documents at most (those of the smallest hash).
 MAX_TRUSTED = 20_000
-#: Mean log-likelihood ratio per n-gram under which a document is rejected.
-THRESHOLD = -0.2
+#: Mean log-likelihood ratio per n-gram under which a document is rejected. Of 17 thousand labelled
+#: documents, those of quality 1 scored -0.05 or more, 95 in 100 of quality 0 less than -0.1.
+THRESHOLD = -0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
