@@ -20,16 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import col
+from .common import col, fresh
 from .neardup import _mix
 
 THETA, SEED, RANK_SHIFT = 1.0, 23, 50.0
 #: Weight of a character that is spelt in bytes, as a natural logarithm.
 BYTE_LOG = -25.0
 #: Characters segmented together, and cells of one forward table.
-BATCH_CHARS, MAX_CELLS = 1 << 21, 1 << 21
+BATCH_CHARS, MAX_CELLS = 1 << 19, 1 << 19
 LINEAR_CHARS = 24
+_SLICE_ROWS = 1024
 SPACE, _STAND_IN = 0x2581, 0xE000
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
@@ -92,7 +94,9 @@ class Pieces:
         raw = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         if not len(raw):
             return [np.zeros(0, np.int64) for _ in texts]
-        code = np.where(raw == SPACE, _STAND_IN, np.where(raw == 32, SPACE, raw))
+        code = raw.copy()
+        code[raw == SPACE] = _STAND_IN
+        code[raw == 32] = SPACE
         n = len(code)
         doc = np.repeat(np.arange(len(texts)), lens)
         doc_start = np.concatenate([[0], np.cumsum(lens)])
@@ -211,34 +215,41 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, theta: float = THETA, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, theta: float = THETA, seed: int = SEED, proof: bool = False) -> DataFrame:
     """``docs`` with ``pieces`` (``pieces_`` if taken), a sampled segmentation of each whole text.
 
+    ``proof`` adds ``pieces_crc32`` (of the ids as little-endian unsigned 32-bit integers), ``text_crc32``
+    (of the text that the ids decode to, in UTF-8) and ``lossless`` (whether that is the text).
     Null and empty texts have no pieces. The sample depends on the row's id, ``seed`` and the text;
     repeated rows get equal pieces, and null ids count as one key. All columns are kept.
     """
-    from pyspark.sql import types as T
-
-    from .common import fresh
-
-    out, key = fresh(docs, "pieces", "row_key")
+    out, crc, text_crc, lossless, key = fresh(docs, "pieces", "pieces_crc32", "text_crc32", "lossless", "row_key")
     keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), col(id_col)))
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    more = [(crc, T.LongType()), (text_crc, T.LongType()), (lossless, T.BooleanType())] if proof else []
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), *[T.StructField(*x) for x in more]])
     names = list(docs.columns)
     n, text_at = len(names), names.index(text_col)
+    added = [out, *[x for x, _ in more]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(vocab, theta)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            keys = batch.column(n).to_numpy().view(np.uint64)
-            for a, b in _groups(texts):
-                found = model.segment(texts[a:b], keys[a:b])
-                at = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-                values = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], lists], [*names, out])
+            for at in range(0, len(batch), _SLICE_ROWS):
+                rows = batch.slice(at, _SLICE_ROWS)
+                texts = [t or "" for t in rows.column(text_at).to_pylist()]
+                keys = rows.column(n).to_numpy().view(np.uint64)
+                for a, b in _groups(texts):
+                    found = [x.astype(np.int32) for x in model.segment(texts[a:b], keys[a:b])]
+                    edges = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+                    columns = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(found)))]
+                    if proof:
+                        back = [model.decode(x.tolist()) for x in found]
+                        columns += [
+                            pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
+                            pa.array([zlib.crc32(t.encode()) for t in back], pa.int64()),
+                            pa.array([t == u for t, u in zip(back, texts[a:b], strict=True)], pa.bool_()),
+                        ]
+                    yield pa.RecordBatch.from_arrays([*rows.slice(a, b - a).columns[:n], *columns], [*names, *added])
 
     return keyed.mapInArrow(run, schema)
 
@@ -255,23 +266,10 @@ def decode(pieces, vocab: str | None = None, theta: float = THETA):
     return F.pandas_udf(run, "string")(pieces)
 
 
-def ids_crc32(pieces):
-    """Column expression: unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-    import pandas as pd
-
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(v, "<u4").tobytes()) if v is not None else None for v in values], dtype="Int64")
-
-    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "long")(pieces)
-
-
 def round_trip(docs: DataFrame) -> DataFrame:
     """(doc_id, n_pieces, pieces_crc32, text_crc32, lossless) of documents: encoded, decoded, compared."""
-    coded = encode(docs.select("doc_id", "text"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    back = coded.select("doc_id", text.alias("text"), F.size("pieces").cast("long").alias("n_pieces"), ids_crc32(F.col("pieces")).alias("pieces_crc32"), decode(F.col("pieces")).alias("back"))
-    return back.select("doc_id", "n_pieces", "pieces_crc32", F.crc32(F.col("back").cast("binary")).alias("text_crc32"), (F.col("back") == F.col("text")).alias("lossless"))
+    coded = encode(docs.select("doc_id", "text"), proof=True)
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces_crc32", "text_crc32", "lossless")
 
 
 def op7_sampled_pieces(spark, sf_dir: str) -> DataFrame:
