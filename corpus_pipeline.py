@@ -35,16 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of every document, with the proof that they decode to its text."""
-    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return coded.select(
-        "doc_id",
-        "lang",
-        "source",
-        "pieces",
-        F.size("pieces").cast("long").alias("n_pieces"),
-        (pieces.decode(F.col("pieces")) == text).alias("lossless"),
-    )
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), proof=True)
+    return coded.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES = [
