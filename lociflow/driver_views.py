@@ -377,7 +377,8 @@ _RATIO_SQL = f"SELECT l_partkey, {_TEXT3.format(x='k / CAST(n AS DOUBLE)')} AS r
 def spread_stats(spark, sf_dir):
     """Median, median absolute deviation and the spread test of each supplier's places."""
     rows = reads_view(spark, sf_dir, "l_suppkey").groupBy("variant_id").agg(F.collect_list("la2m").alias("x"))
-    return rows.select("variant_id", stats.median(F.col("x")).alias("median"), stats.mad(F.col("x")).alias("mad"), stats.spread_over(F.col("x"), 8.0).alias("wide"))
+    rows = rows.withColumn("median", stats.median(F.col("x")))
+    return rows.select("variant_id", "median", stats.mad(F.col("x"), F.col("median")).alias("mad"), stats.spread_over(F.col("x"), 8.0).alias("wide"))
 
 
 _SPREAD_SQL = f"""SELECT variant_id, CAST(median(la2m) AS DOUBLE) AS median, CAST(mad(la2m) AS DOUBLE) AS mad,

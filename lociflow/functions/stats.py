@@ -15,10 +15,13 @@ def median(values: Column) -> Column:
     return F.when(n > 0, (pick(F.floor((n - 1) / 2)) + pick(F.floor(n / 2))) / 2)
 
 
-def mad(values: Column) -> Column:
-    """Median absolute deviation from the median."""
-    m = median(values)
-    return median(F.transform(values, lambda x: F.abs(x - m)))
+def mad(values: Column, center: Column) -> Column:
+    """Median absolute deviation from ``center``, which must be a column, computed before.
+
+    It is named twice here: an expression used once would be put back into the lambda and be
+    computed anew for every element.
+    """
+    return F.when(center.isNotNull(), median(F.transform(values, lambda x: F.abs(x - center))))
 
 
 def spread_over(values: Column, bound: float) -> Column:

@@ -20,10 +20,12 @@ Columns = dict[str, Column]
 @dataclass(frozen=True)
 class Flagger:
     """``aggregates(passes, params)`` are computed in the shared groupBy under a prefix; ``result(params,
-    get)`` turns them into outcome, info_bits, reads_seen and extra."""
+    get)`` turns them into outcome, info_bits, reads_seen and extra. ``derive`` lists steps of columns
+    computed in between, each step from those before it."""
 
     aggregates: Callable[[Column, dict], Columns]
     result: Callable[[dict, Callable[[str], Column]], Columns]
+    derive: Callable[[dict, Callable[[str], Column]], list[Columns]] = lambda params, get: []
 
 
 def proportion(marks: tuple[str, ...]) -> Flagger:
@@ -81,30 +83,38 @@ def _place_aggregates(passes: Column, params: dict) -> Columns:
     return out
 
 
+def _place_derive(params: dict, get) -> list[Columns]:
+    sd = {"one": params["min_sd_one_strand"], "weak": params["min_sd_both_strand_weak"], "strong": params["min_sd_both_strand_strong"]}
+    return [
+        {f"{s}_med": stats.median(get(s)) for s in "fr"},
+        {f"{s}_mad": stats.mad(get(s), get(f"{s}_med")) for s in "fr"} | {f"{s}_sd_{k}": stats.spread_over(get(s), v) for s in "fr" for k, v in sd.items()},
+    ]
+
+
 def _place_result(params: dict, get) -> Columns:
     low = params["low_n_supporting_reads_boundary"]
-    f, r, n = get("f"), get("r"), get("n")
+    n = get("n")
     near_f, near_r = get("f_near"), get("r_near")
-    nf, nr = F.size(f), F.size(r)
+    nf, nr = F.size(get("f")), F.size(get("r"))
     many_f, many_r = nf > low, nr > low
 
-    def spread(values: Column, min_mad: float, min_sd: float) -> Column:
-        return F.coalesce(stats.mad(values) > float(min_mad), F.lit(False)) & stats.spread_over(values, min_sd)
+    def spread(strand: str, kind: str, min_mad: float) -> Column:
+        return F.coalesce(get(f"{strand}_mad") > float(min_mad), F.lit(False)) & get(f"{strand}_sd_{kind}")
 
     p = params
     edge_at = float(p["edge_clustering_threshold"])
 
-    def one_strand(values: Column, near: Column) -> tuple[Column, Column]:
-        edge = near / F.size(values) < edge_at
-        dist = spread(values, p["min_MAD_one_strand"], p["min_sd_one_strand"])
+    def one_strand(strand: str) -> tuple[Column, Column]:
+        edge = get(f"{strand}_near") / F.size(get(strand)) < edge_at
+        dist = spread(strand, "one", p["min_MAD_one_strand"])
         bad = F.when(edge, 0).otherwise(4) + F.when(dist, 0).otherwise(8)
         return edge & dist, F.when(edge & dist, 12).otherwise(bad)
 
-    f_ok, f_bits = one_strand(f, near_f)
-    r_ok, r_bits = one_strand(r, near_r)
+    f_ok, f_bits = one_strand("f")
+    r_ok, r_bits = one_strand("r")
     edge = (near_f + near_r) / n < edge_at
-    weak = [spread(v, p["min_MAD_both_strand_weak"], p["min_sd_both_strand_weak"]) for v in (f, r)]
-    strong = [spread(v, p["min_MAD_both_strand_strong"], p["min_sd_both_strand_strong"]) for v in (f, r)]
+    weak = [spread(s, "weak", p["min_MAD_both_strand_weak"]) for s in "fr"]
+    strong = [spread(s, "strong", p["min_MAD_both_strand_strong"]) for s in "fr"]
     good = F.when(edge, 4).otherwise(0) + F.when(weak[0] & weak[1], 16).otherwise(0) + F.when(strong[0] | strong[1], 32).otherwise(0)
     b_ok, b_bits = good > 0, F.when(good > 0, good).otherwise(4 + 16 + 32)
     both = many_f & many_r
@@ -120,7 +130,7 @@ def _place_result(params: dict, get) -> Columns:
     }
 
 
-PLACEMENT = Flagger(_place_aggregates, _place_result)
+PLACEMENT = Flagger(_place_aggregates, _place_result, _place_derive)
 
 
 def run(sites: DataFrame, rows: DataFrame, keys: list[str], tests: list[tuple[str, Flagger, dict, Column]]) -> DataFrame:
@@ -143,6 +153,8 @@ def run(sites: DataFrame, rows: DataFrame, keys: list[str], tests: list[tuple[st
     wide = wide.withColumns(fills) if fills else wide
     results = []
     for name, t, params, _ in tests:
+        for step in t.derive(params, lambda k, name=name: F.col(f"{name}__{k}")):
+            wide = wide.withColumns({f"{name}__{k}": c for k, c in step.items()})
         r = t.result(params, lambda k, name=name: F.col(f"{name}__{k}"))
         results.append(
             F.struct(
