@@ -137,7 +137,6 @@ def mark_duplicates(rows: DataFrame, eligible: Column, keys: list[str], window:
         return rows.withColumn(out, F.lit(False))
     ok = F.coalesce(eligible & F.col(ends).isNotNull() & F.col(quality).isNotNull(), F.lit(False))
     ready = rows.withColumn("__ok", ok).withColumn("__e0", F.get(ends, 0)).repartition(*keys).sortWithinPartitions(*keys, "__e0", order)
-    names = list(ready.columns)
     schema = T.StructType([*ready.schema.fields, T.StructField(out, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,5 +172,4 @@ def mark_duplicates(rows: DataFrame, eligible: Column, keys: list[str], window:
         if carry is not None and len(carry):
             yield from finish(carry)
 
-    assert names
     return ready.mapInArrow(run, schema).drop("__ok", "__e0")

@@ -122,10 +122,9 @@ def marked_reads(variants: DataFrame, reads: DataFrame, config: dict[str, Any],
             later.append((name, registry.flaggers[name], params, passes))
             continue
         rows = registry.taggers[name](rows, passes, params)
-        if name == "mark-low-qual" or name == "mark-support" and not any(s[0] == "mark-low-qual" for s in steps):
-            bulky = [c for c in ("seq", "quals", "steps", "mc", "cigar") if c in rows.columns]
-            if not (set(registry.taggers) - set(K.ADDS)) and _row_local_done(name, steps):
-                rows = rows.drop(*bulky)
+        # bases and qualities need not reach the window and the ordered pass
+        if set(registry.taggers) == set(K.ADDS) and _row_local_done(name, steps):
+            rows = rows.drop("seq", "quals", "steps", "mc", "cigar")
     for mark in registry.adds.values():
         if M.column(mark) not in rows.columns:
             rows = rows.withColumn(M.column(mark), F.lit(False))
@@ -138,7 +137,7 @@ def _marks(steps: list, name: str) -> tuple[list[str], list[str]]:
 
 
 def _row_local_done(name: str, steps: list) -> bool:
-    """Whether no later process reads bases or qualities."""
+    """Whether no process after ``name`` reads bases or qualities."""
     names = [s[0] for s in steps]
     return not {"mark-support", "mark-low-qual"} & set(names[names.index(name) + 1 :])
 

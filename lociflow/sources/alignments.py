@@ -138,8 +138,6 @@ def bam_records(data: bytes) -> Iterator[tuple]:
         if mc and mc[0] != "Z":
             raise ValueError("MC tag is not of type Z")
         score = tags.get("AS", (None, None))
-        if score[0] == "c" or score[0] in ("s", "S", "I"):
-            score = (score[0], score[1])
         yield (qname if qname != "*" else None, flag, names[ref] if ref >= 0 else None, pos, mapq, cigar, next_pos, seq, quals if quals and quals[0] != 255 else None, mc[1] if mc else None, score[1], score[0])
         at = end
 
