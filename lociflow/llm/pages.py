@@ -36,6 +36,8 @@ SKIP_NAMES = frozenset(
 #: These are boilerplate outside an article only; inside they hold its title.
 SKIP_OUTSIDE = frozenset("header masthead topbar".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Elements that hold the text itself: what their names say is about the page's layout.
+NAMED_FREELY = frozenset("html body main article".split())
 CONTENT_NAMES = frozenset("content article post entry story main maincontent articlebody".split())
 _SPLIT = re.compile(r"[^0-9a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -43,17 +45,18 @@ _SPACE = re.compile(r"\s+")
 
 class _Blocks(HTMLParser):
     """``blocks``: (rank, text); rank 3 in an article, 2 in main, 1 in a named container, 0 else.
-    ``outside``: texts of all blocks of rank 0, boilerplate too."""
+    ``outside``: texts of all blocks of rank 0, boilerplate too. An article or the like that opens
+    below an element skipped for its name only has its rank less 10: that name may be the layout's."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # element, skipped, rank
+        self.open: list[tuple[str, int, int]] = []  # element, skipped (1: by a name only, 2: for good), rank
         self.text: list[str] = []
         self.blocks: list[tuple[int, str]] = []
         self.outside: list[str] = []
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> tuple[int, int]:
+        return self.open[-1][1:] if self.open else (0, 0)
 
     def flush(self) -> None:
         if self.text:
@@ -77,11 +80,12 @@ class _Blocks(HTMLParser):
         named = {k: (v or "").lower() for k, v in attrs}
         names = set(_SPLIT.split(named.get("class", ""))) | set(_SPLIT.split(named.get("id", "")))
         role = named.get("role", "").strip()
-        skip = tag in SKIP or role in SKIP_ROLES or bool(names & SKIP_NAMES) or "hidden" in named or named.get("aria-hidden") == "true"
-        if not rank:
-            skip = skip or tag == "header" or bool(names & SKIP_OUTSIDE)
+        inside = rank in (3, -7)
+        skip = 2 * (tag in SKIP or role in SKIP_ROLES or "hidden" in named or named.get("aria-hidden") == "true" or (not rank and tag == "header"))
+        if not skip and (inside or tag not in NAMED_FREELY) and names & (SKIP_NAMES if rank else SKIP_NAMES | SKIP_OUTSIDE):
+            skip = 2 if inside else 1
         new_rank = 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if tag in BLOCK and tag not in ("html", "body", "p", "li") and names & CONTENT_NAMES else 0
-        if tag in BLOCK or skip != skipped:
+        if tag in BLOCK or bool(skip) != bool(skipped):
             self.flush()
         elif tag in ("td", "th", "option"):
             self.text.append(" ")
@@ -93,7 +97,10 @@ class _Blocks(HTMLParser):
                 if self.open[i][0] in BLOCK:
                     break
             skipped, rank = self._state()
-        self.open.append((tag, skipped or skip, max(rank, new_rank)))
+        if skipped == 1 and not skip and new_rank > max(rank, 0):
+            self.open.append((tag, 0, new_rank - 10))
+        else:
+            self.open.append((tag, max(skipped, skip), max(rank, new_rank) if rank >= 0 else max(rank, new_rank - 10 if new_rank else rank)))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -121,7 +128,11 @@ def parse(html: str | None) -> tuple[bool, str, list[str], list[str]]:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    best = max((rank for rank, _ in parser.blocks), default=0)
+    best = max((rank for rank, _ in parser.blocks if rank > 0), default=0)
+    low = max((rank for rank, _ in parser.blocks if rank < 0), default=0)
+    size = lambda r: sum(len(text) for rank, text in parser.blocks if rank == r)
+    if low and best < 3 and (low > -9 or not best) and size(low) > size(best):
+        best = low
     kept = [text for rank, text in parser.blocks if rank == best]
     return (True, "\n".join(kept), [], parser.outside) if best else (False, "", kept, parser.outside)
 

@@ -120,6 +120,19 @@ def test_page_text():
     assert pages.host_of("https://u@Www.Ex.org:80/a?b#c") == "www.ex.org" and pages.host_of(None) == ""
 
 
+def test_page_names_of_the_layout():
+    text = lambda html: pages.parse(html)[1]
+    assert text('<body class="single no-sidebar"><article>a</article></body>') == "a"
+    assert text('<main class="has-sidebar"><p>a</p><div class="sidebar">s</div></main>') == "a"
+    assert text('<article class="post comments-open"><p>a</p><article class="comment">c</article></article>') == "a"
+    assert text('<div class="has-sidebar"><div class="has-header"><article><p>a</p><p class="ad">x</p></article></div><p>b</p></div>') == "a"
+    assert text('<main><div class="layout-sidebar"><article>the article</article></div><p>b</p></main>') == "the article"
+    assert text('<article>a</article><div class="related"><article>a longer teaser</article></div>') == "a"
+    assert text('<div class="has-sidebar"><div class="entry-content">the text</div></div>') == "the text"
+    assert text('<div class="content">a</div><div id="comments"><div class="comment-content">a long comment</div></div>') == "a"
+    assert text('<nav class="x"><article>n</article></nav><article>a</article>') == "a"
+
+
 def test_sampler_is_exact_and_lossless():
     m = pieces.Pieces()
     texts = ["hello world", "", "  a▁b\n\n x  ", "漢字 é \U0001f600", "a" * 300, "x" + " " * 40 + "y"]
