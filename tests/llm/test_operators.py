@@ -203,6 +203,22 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_keep_shared_articles(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    notice = words("notice", 40)
+    article = lambda i: f"<p>{words(f'p{i}_', 50)}</p>"
+    data = [(i, f"http://h.org/{i}", f"<p>{notice} {words(f'x{i}_', 9)}</p>{article(i)}") for i in range(6)]
+    data += [(10 + i, f"http://h.org/copy{i}", f"<p>{words('copied', 60)}</p>") for i in range(6)]  # exact copies
+    data += [(20 + i, f"http://h.org/quote{i}", f"<p>{words('quoted', 40)}</p>{article(20 + i)}") for i in range(2)]
+    data += [(30 + i, f"http://h.org/phrase{i}", f"<p>{words(f'a{i}_', 9)} one common phrase of five words {words(f'b{i}_', 9)}</p>") for i in range(6)]
+    data += [(40 + i, None, f"<p>{notice}</p>{article(40 + i)}") for i in range(6)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(data)
+    for k, _, html in data:
+        want = re.sub(r"</p><p>", "\n", html)[3:-4]
+        assert got[k] == (want.replace(notice + " ", "") if k < 10 else want)
+
+
 def test_quality_base(docs, rows, labels, empty):
     weights = quality.fit(docs, labels)
     got = quality.judge(docs, weights)
