@@ -2,15 +2,14 @@
 
 Each page is parsed into blocks. Blocks of menus, headers, footers, side bars, notices, adverts,
 forms and comments are known by their elements and names. If a page marks its article (``article``,
-``main`` or a container named so), the rest of that container is the text. For pages that mark
-none, the token streams of all the host's pages are taken together: suffixes, cut to ``RUN`` tokens
+``main`` or a container named so), the rest of that container may be text, else all the rest may.
+The token streams of all the host's pages are then taken together: suffixes, cut to ``RUN`` tokens
 of a block or to a few whole blocks, are sorted across the cluster, and neighbours in that order that
-agree are repeats. Tokens that repeats on ``MANY`` distinct pages cover are boilerplate.
+agree are repeats. Tokens that repeats on ``MANY`` distinct pages cover are boilerplate, in marked
+articles too, but for those that repeats cover by more than half: they are copies of each other.
 
 Cut suffixes are sorted by a hash that holds the host: equal ones are neighbours, as they would be in
 the host's suffix array, but the order between unequal ones is not that of their tokens.
-
-Marked articles are left whole.
 """
 
 from __future__ import annotations
@@ -271,7 +270,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pages' own blocks without the tokens that repeats cover."""
     for batch in batches:
         out = []
-        for blocks, own, host, runs in zip(*(batch.column(c).to_pylist() for c in ("blocks", "own", "host", "runs")), strict=True):
+        for blocks, own, host, marked, runs in zip(*(batch.column(c).to_pylist() for c in ("blocks", "own", "host", "marked", "runs")), strict=True):
             kept = [t for t, o in zip(blocks, own, strict=True) if o]
             if runs:
                 _, _, run, start, length = suffixes([(blocks, own, host)])
@@ -280,7 +279,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit = np.isin(run, np.array(runs, np.int64))
                 np.add.at(step, start[hit], 1)
                 np.add.at(step, (start + length)[hit], -1)
-                covered = np.cumsum(step) > 0
+                covered = np.cumsum(step)[:-1] > 0
+                mine = np.repeat(np.array(own, bool), size)
+                if marked and 2 * np.count_nonzero(covered & mine) > np.count_nonzero(mine):
+                    covered[:] = False
                 kept, at = [], 0
                 for text, o, n in zip(blocks, own, size, strict=True):
                     gone = covered[at : at + n]
@@ -313,7 +315,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     runs = common.groupBy("k").agg(F.collect_list("run").alias("runs"))  # a page's own repeats
     if common.count() <= MAX_BROADCAST:
         runs = F.broadcast(runs)
-    out = parsed.join(runs, "k", "left").select("id", "url", "host", "blocks", "own", F.when(~F.col("marked"), F.col("runs")).alias("runs"))
+    out = parsed.join(runs, "k", "left").select("id", "url", "host", "blocks", "own", "marked", "runs")
     return out.mapInArrow(_without, f"id {kind}, url string, text string").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 

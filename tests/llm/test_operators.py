@@ -219,6 +219,17 @@ def test_pages_keep_shared_articles(spark):
         assert got[k] == (want.replace(notice + " ", "") if k < 10 else want)
 
 
+def test_pages_repeats_in_marked_articles(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    share, notice = words("share", 6), words("notice", 35)
+    data = [(i, f"http://h.org/{i}", f"<article><p>{words(f'p{i}_', 90)}</p><p>{share}</p><p>{words(f'q{i}_', 9)} {notice}</p></article>") for i in range(6)]
+    data += [(10 + i, f"http://h.org/near{i}", f"<article><p>{words('near', 50)}</p><p>last{i}</p></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"{words(f'p{i}_', 90)}\n{words(f'q{i}_', 9)}"
+        assert got[10 + i] == f"{words('near', 50)}\nlast{i}"
+
+
 def test_quality_base(docs, rows, labels, empty):
     weights = quality.fit(docs, labels)
     got = quality.judge(docs, weights)
