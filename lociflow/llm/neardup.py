@@ -128,7 +128,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node = _mix(np.array([np.bitwise_xor.reduce(_mix(s)) if len(s) else 0], np.uint64) + np.uint64(len(s)) + (s.sum(dtype=np.uint64) if len(s) else np.uint64(0)))[0]
             nodes.append(np.int64(node.view(np.int64)))
             sigs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["id", "node", "n", "sig"])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], [*others, "node", "n", "sig"])
 
 
 def _index(indexes: list[tuple[int, ...]]):
@@ -319,7 +320,8 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, threshold: float):
         self.docs, self.plan, self.percent = docs, Plan(threshold), round(100 * threshold)
         kind = docs.schema["id"].dataType.simpleString()
-        self.rows = stored(docs.mapInArrow(_sign, f"id {kind}, node long, n long, sig binary"), "near-rows")
+        rows = docs.select("id", F.xxhash64("text").alias("text_hash"), "text")
+        self.rows = stored(rows.mapInArrow(_sign, f"id {kind}, text_hash long, node long, n long, sig binary"), "near-rows")
         some = self.rows.filter("n > 0")
         self.nodes = stored(some.groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "near-nodes")
 
@@ -377,6 +379,13 @@ class NearDuplicates:
         one = nodes.join(wanted.select("node").withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left_semi")
         return one.groupBy("node").agg(F.first("text").alias("text"))
 
+    def survivors(self) -> DataFrame:
+        """(id, text_hash) of one row with words of each component: its least id, null last."""
+        comp = components(self.links())
+        named = self.rows.filter("n > 0").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        least = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("row"))
+        return least.select("row.id", "row.text_hash")
+
     def classes(self) -> DataFrame:
         """(node, component): component is the least id in the node's component."""
         comp = components(self.links())
@@ -407,16 +416,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: its least id (repeated rows of that id: one of them).
+    """``docs`` with one row of each component: its least id, of that id's texts the one of least hash
+    (rows equal in id and text: one of them). Null and repeated ids stand for any number of documents.
 
     Rows without words are all kept.
     """
-    marks = near_duplicates(docs, threshold, id_col, text_col)
-    best = fresh(docs, "kept_id")[0]
-    wordless = ~F.coalesce(col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = marks.filter("kept and n_shingles > 0").select(col(id_col).alias(best)).distinct()
-    rows = docs.filter(~wordless).join(kept, col(id_col).eqNullSafe(F.col(best)), "left_semi")
-    rows = rows.dropDuplicates([id_col])
+    text = col(text_col).cast("string")
+    kept_id, kept_hash, text_hash = fresh(docs, "kept_id", "kept_hash", "text_hash")
+    wordless = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = NearDuplicates(docs.select(col(id_col).alias("id"), text.alias("text")), threshold).survivors().distinct().toDF(kept_id, kept_hash)
+    rows = docs.filter(~wordless).withColumn(text_hash, F.xxhash64(text))
+    rows = rows.join(kept, (F.col(text_hash) == F.col(kept_hash)) & col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
+    rows = rows.dropDuplicates([id_col, text_hash]).drop(text_hash)
     return rows.unionByName(docs.filter(wordless))
 
 

@@ -183,6 +183,15 @@ def test_keep_one(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_of_null_and_equal_ids(spark):
+    data = [(k, text_of(i)) for i in range(4) for k in (None, None)]  # four documents without an id, each twice
+    data += [(7, text_of(i)) for i in range(4, 8)] + [(7, text_of(4))]  # four documents of one id
+    data += [(8, text_of(8)), (None, text_of(8)), (9, text_of(8)), (None, ""), (None, "")]
+    got = neardup.keep_one(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, text_of(i)) for i in range(4)] + [(7, text_of(i)) for i in range(4, 8)] + [(8, text_of(8)), (None, ""), (None, "")]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_pieces(docs, rows, empty):
     got = pieces.round_trip(docs).collect()
     assert len(got) == len(rows) and all(r.lossless for r in got)
