@@ -48,9 +48,9 @@ NOTICES = {
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.9, 1.0
 TAG = "spdx license identifier"
-_TAG_AT = re.compile(r"spdx[^0-9a-z]+license[^0-9a-z]+identifier\s*:?[ \t]*([^\r\n]*)", re.I | re.A)
-#: An expression ends at the line's end; so many characters are read behind a tag at most.
-EXPRESSION_CHARS = 500
+#: An expression ends at the line's end or the next tag.
+_TAG_AT = re.compile(r"spdx[^0-9a-z]+license[^0-9a-z]+identifier\s*:?[ \t]*", re.I | re.A)
+_LINE_END = re.compile(r"[\r\n]|\Z")
 
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -107,7 +107,9 @@ def evaluate(postfix: list[str], allowed=_ALLOWED) -> tuple[set[str], bool]:
             if token == "with":
                 stack.append(({f"{x} with {y}" for x in a for y in b}, a_ok))
             else:
-                stack.append((a | b, a_ok or b_ok if token == "or" else a_ok and b_ok))
+                more, less = (a, b) if len(a) >= len(b) else (b, a)
+                more |= less  # in place: an expression may name very many
+                stack.append((more, a_ok or b_ok if token == "or" else a_ok and b_ok))
         else:
             low = token.lower().rstrip(".")
             stack.append(({low}, low in allowed))
@@ -151,9 +153,9 @@ def scan_text(auto, text: str | None) -> tuple:
     expressions: list[str] = []
     permissive = None
     if tagged:
-        for m in _TAG_AT.finditer(text or ""):
-            raw = m.group(1)[:EXPRESSION_CHARS]
-            postfix = to_postfix(raw)
+        tags = [m.span() for m in _TAG_AT.finditer(text or "")]
+        for (_, at), (following, _) in zip(tags, [*tags[1:], (len(text or ""), 0)], strict=True):
+            postfix = to_postfix(text[at : _LINE_END.search(text, at, following).start()])
             if postfix is None:
                 continue
             ids, ok = evaluate(postfix)

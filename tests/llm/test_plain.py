@@ -66,6 +66,17 @@ def test_licence_scan_against_brute_force():
     assert tagged[5] == "spdx:mit,spdx:zlib" and tagged[6] == 1.0 and tagged[8] is True
 
 
+def test_licence_expressions_are_read_whole():
+    auto = licenses.automaton()
+    names = [f"LicenseRef-{i}" for i in range(400)]
+    for text in (" AND ".join(names), f"({' OR '.join(names)})"):
+        got = licenses.scan_text(auto, f"SPDX-License-Identifier: {text}\nAND MIT")
+        assert got[5] == ",".join(sorted(f"spdx:{x.lower()}" for x in names)) and len(got[7]) == 1
+    line = "/* SPDX-License-Identifier: MIT */ a(); /* SPDX-License-Identifier: GPL-3.0-only OR ISC */ b(); // spdx license identifier Zlib"
+    assert licenses.scan_text(auto, line)[7:] == (["MIT", "GPL-3.0-only ISC or", "Zlib"], True)
+    assert licenses.scan_text(auto, "SPDX-License-Identifier:\nMIT AND\nSPDX-License-Identifier: ISC")[7] == ["ISC"]
+
+
 def test_media():
     for text, size in ((None, 64), ("", 64), ("a" * 64, 64), ("a" * 65, 128), ("é" * 4000, 8000)):
         n, payload = media.payload_of(text)
