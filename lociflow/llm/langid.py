@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, stored
 
 N = 4
 #: log2 of the filter's slots.
@@ -25,8 +25,6 @@ SLOT_BITS = 21
 MAX_TRAIN = 4000
 #: Grams kept for each language (the most frequent), least count, least share of the gram's best share.
 MAX_GRAMS, MIN_COUNT, MIN_RATIO = 100_000, 3, 0.5
-#: Languages at most, the most frequent ones.
-MAX_LANGS = 64
 SEED = 11
 #: Part of a text's grams that the best language must know for the pipeline to keep the text.
 MIN_COVERAGE = 0.2
@@ -126,37 +124,29 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from labelled documents that are not held out; a bounded sample for each language.
 
-    Grams are counted on the executors. At most ``MAX_GRAMS`` for each of ``MAX_LANGS`` languages
-    come to the driver, whatever the input.
+    Every label is learned. Grams are counted and chosen on the executors; at most ``MAX_GRAMS`` of one
+    language at a time come to the driver.
     """
     lang = col(lang_col)
     usable = docs.filter(lang.isNotNull() & ~is_held_out(col(id_col)))
-    sizes = [(r[0], r[1]) for r in usable.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    sizes = [(r[0], r[1]) for r in usable.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").collect()]
     langs = [k for k, _ in sizes]
-    width = -(-max(len(langs), 1) // 8)
-    table = np.zeros((width, 1 << SLOT_BITS), np.uint8)
+    table = np.zeros((-(-max(len(langs), 1) // 8), 1 << SLOT_BITS), np.uint8)
     if langs:
         draw = F.pmod(F.xxhash64(F.lit(SEED), col(id_col)), F.lit(1 << 30))
-        chosen = F.lit(False)
-        for k, n in sizes:
-            chosen = chosen | ((lang == k) & (draw < F.lit(min(1 << 30, (MAX_TRAIN << 30) // n))))
-        sample = usable.filter(chosen & col(text_col).isNotNull()).select(lang.alias("lang"), col(text_col).alias("text"))
+        parts = docs.sparkSession.createDataFrame([(bit, k, min(1 << 30, (MAX_TRAIN << 30) // n)) for bit, (k, n) in enumerate(sizes)], "bit int, known string, below long")
+        labelled = usable.filter(col(text_col).isNotNull()).select(lang.cast("string").alias("lang"), col(text_col).alias("text"), draw.alias("draw"))
+        sample = labelled.join(F.broadcast(parts), (F.col("lang") == F.col("known")) & (F.col("draw") < F.col("below"))).select("lang", "text")
         counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        counts = counts.filter(F.col("n") >= MIN_COUNT)
-        # at most MAX_GRAMS rows a language leave each of these sorts; their input is the bounded sample's grams
-        for bit, k in enumerate(langs):
-            top = counts.filter(F.col("lang") == k).orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).select("gram", "n").toPandas()
-            sizes[bit] = (top["gram"].to_numpy(np.int64), top["n"].to_numpy(np.float64))
-        best: dict[int, float] = {}
-        total = [max(n.sum(), 1.0) for _, n in sizes]
-        for (g, n), t in zip(sizes, total, strict=True):
-            for x, p in zip(g.tolist(), (n / t).tolist(), strict=True):
-                if p > best.get(x, 0.0):
-                    best[x] = p
-        for bit, ((g, n), t) in enumerate(zip(sizes, total, strict=True)):
-            peak = np.array([best[x] for x in g.tolist()])
-            kept = g[n / t >= MIN_RATIO * peak].view(np.uint64) if len(g) else g.view(np.uint64)
-            for s in _slots(kept):
+        # a language's rows in these windows are the bounded sample's grams, a gram's are languages
+        order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+        top = counts.filter(F.col("n") >= MIN_COUNT).withColumn("place", order).filter(F.col("place") <= MAX_GRAMS)
+        share = top.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+        peak = F.max("share").over(Window.partitionBy("gram"))
+        kept = share.withColumn("peak", peak).filter(F.col("share") >= MIN_RATIO * F.col("peak"))
+        kept = stored(kept.join(F.broadcast(parts), F.col("lang") == F.col("known")).select("bit", "gram"), "grams")
+        for bit in range(len(langs)):
+            for s in _slots(kept.filter(F.col("bit") == bit).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)):
                 np.bitwise_or.at(table[bit // 8], s, np.uint8(1 << (bit % 8)))
     fill = np.array([np.mean((table[i // 8] >> (i % 8)) & 1) for i in range(len(langs))])
     return Filters(langs, table, fill**2)

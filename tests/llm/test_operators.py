@@ -82,6 +82,16 @@ def test_language(docs, rows, empty):
     assert set(langid.keep_known(docs).columns) == set(docs.columns)
 
 
+def test_every_language_is_learned(spark):
+    word = lambda k, j: chr(0x4E00 + 30 * k + j) * 5
+    data = [(100 * i + k, " ".join(word(k, (i + j) % 30) for j in range(12)), f"l{k:02}") for k in range(70) for i in range(12)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 70
+    assert all(model.predict(text)[0] == lang for _, text, lang in data)
+    assert langid.keep_known(docs).count() == len(data)
+
+
 def water(sizes, budget=1.5, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
