@@ -61,8 +61,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def n_tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input that one task of an ordered pass aims at; tasks of such a pass at most.
+TASK_BYTES, MAX_TASKS = 64 << 20, 100_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for an ordered pass over ``df``: as Spark is set, more if its files are large."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # Spark's own word for "unknown" is larger
+    return max(least, min(MAX_TASKS, -(-known // TASK_BYTES)))
 
 
 def word_count(text: Column) -> Column:

@@ -1,14 +1,17 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lock step.
 
-Each id is coded in one step of a 48-bit range coder with 16-bit digits. The interval of 65536 is
-mixed from three models: the id that last followed the previous two ids (order 2), the id that last
-followed the previous one (order 1), and an adaptive distribution over id classes (order 0; the
-place inside a class follows in equal parts). The shares of orders 2 and 1 are counts of how often
-each was right, kept for every pair of their confidences. All models start anew in each block, so
-blocks decode on their own, and one numpy operation serves one step of all blocks of a chunk.
-
-A chunk is: ``MAGIC``, version, number of blocks; then for each block its ids, digits and the crc32
-of its ids as little-endian unsigned 32-bit integers; then all digits as little-endian 16 bits.
+Each id is coded in one step of a 48-bit range coder with 16-bit digits. The interval of 2**22 is mixed
+from five predictions: the ids that followed the last two occurrences of the previous two ids (order 2),
+those that followed the last two of the previous id (order 1), and the chunk's own frequencies (order 0).
+The shares are counts of how often each was the first to be right, kept for every state of the others:
+how many followers are known, whether they agree, whether the orders agree. Contexts and shares start
+anew in each block and adapt inside it, so blocks decode on their own, and one numpy operation serves
+one step of all blocks of a chunk.
+
+A chunk is: ``MAGIC``, version, ids of a block, number of blocks, bytes of the packed alphabet; the
+alphabet (ids, then frequencies of ``_TOTAL0``, deflated); for each block its ids, digits and the crc32 of
+its ids as little-endian unsigned 32-bit integers; then all digits as little-endian 16 bits. Ids beyond
+the ``MAX_ALPHABET`` most frequent of a chunk are spelt in ``_RAW_BITS`` bits behind an escape.
 """
 
 from __future__ import annotations
@@ -18,96 +21,90 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"LFID", 1
-BLOCK_IDS = 2048
+MAGIC, VERSION = b"LFID", 2
+BLOCK_IDS = 4096
 #: Ids must be below this.
 MAX_ID = (1 << 19) - 1
-_TABLE_BITS, _SEGMENT = 12, 128
-_TOTAL = 1 << 16
-_SHARE = 56_000
-_SLOT_BITS = 12
+MAX_ALPHABET = 32_000
+_RAW_BITS = np.uint64(19)
+_TOTAL0, _BITS0 = 1 << 16, 16
+#: All shares are parts of 2**16, and order 0 has ``_LEAST0`` at least; the coder's interval is finer by
+#: ``_FINE`` bits, so that each of order 0's frequencies has room in any share.
+_LEAST0, _FINE = 2048, 6
+_BITS = np.uint64(16 + _FINE)
+_TABLE1, _TABLE2 = 13, 13
+_STATES, _SLOTS = 32, 5
 _U = np.uint64
-_EMPTY = np.uint32(0xFFFFFFFC)
-
-
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """(first id + 1, free bits) of each class: 1 to 7, then eight classes for each power of two."""
-    first, bits = list(range(1, 8)), [0] * 7
-    for e in range(3, 19):
-        for m in range(8):
-            first.append((8 + m) << (e - 3))
-            bits.append(e - 3)
-    return np.array(first, np.uint64), np.array(bits, np.uint64)
-
-
-_FIRST, _FREE = _classes()
-_N_CLASSES = len(_FIRST)
+_LOW16, _LOW48 = _U(0xFFFF), _U((1 << 48) - 1)
 
 
-def _class_of(ids: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_FIRST, ids + _U(1), side="right") - 1
+def _frequencies(counts: np.ndarray) -> np.ndarray:
+    """Parts of ``_TOTAL0``, each at least 1, for counts of at least 1."""
+    freq = counts * (_TOTAL0 - len(counts)) // counts.sum() + 1
+    freq[np.argmax(freq)] += _TOTAL0 - freq.sum()
+    return freq
 
 
 class _Model:
-    """State of ``lanes`` blocks; the encoder and the decoder drive it alike."""
-
-    def __init__(self, lanes: int):
-        size = 1 << _TABLE_BITS
-        self.rows = np.arange(lanes)
-        self.t1 = np.full(lanes * size, _EMPTY, np.uint32)
-        self.t2 = np.full(lanes * size, _EMPTY, np.uint32)
-        self.base = self.rows * size
-        self.mix_base = self.rows * 16
-        self.seen = np.full(lanes * 16, 4, np.int64)
-        self.right2 = np.ones(lanes * 16, np.int64)
-        self.right1 = np.ones(lanes * 16, np.int64)
-        self.counts = np.ones((lanes, _N_CLASSES), np.int64)
+    """State of ``lanes`` blocks; the encoder and the decoder drive it alike.
+
+    Symbols are places in the alphabet; 0 is none in a table, and the escape where something is coded.
+    """
+
+    def __init__(self, lanes: int, freq: np.ndarray):
+        self.freq = freq.astype(np.int64)
+        self.cum = np.concatenate([[0], np.cumsum(self.freq)])
+        rows = np.arange(lanes)
+        self.base1, self.base2 = rows << _TABLE1, rows << _TABLE2
+        self.mix = rows * _STATES
+        self.t1 = np.zeros(lanes << _TABLE1, np.uint32)
+        self.t2 = np.zeros(lanes << _TABLE2, np.uint32)
+        self.counts = np.ones((lanes * _STATES, _SLOTS), np.int32)
+        self.flat = self.counts.reshape(-1)
         self.prev = np.zeros(lanes, np.int64)
         self.prev2 = np.zeros(lanes, np.int64)
+        self.packed = np.zeros(lanes * _STATES, np.uint64)
         self.rebuild()
 
     def rebuild(self) -> None:
-        """Class frequencies (each at least 1, in all 2**_SLOT_BITS) from the counts so far."""
-        whole = 1 << _SLOT_BITS
-        total = self.counts.sum(axis=1, keepdims=True)
-        freq = self.counts * (whole - _N_CLASSES) // total + 1
-        freq[:, 0] += whole - freq.sum(axis=1)
-        self.cum = np.zeros((len(freq), _N_CLASSES + 1), np.int64)
-        np.cumsum(freq, axis=1, out=self.cum[:, 1:])
-        self.flat_cum = self.cum.ravel()
-        self.slots = np.repeat(np.tile(np.arange(_N_CLASSES, dtype=np.uint8), len(freq)), freq.ravel())
-        old = self.seen > 512
-        for c in (self.seen, self.right2, self.right1):
-            c[old] = (c[old] + 1) >> 1
-        high = self.counts.sum(axis=1) > 4096
-        self.counts[high] = (self.counts[high] + 1) >> 1
+        """The four bounds between the predictions' shares, packed in one number for each lane and state."""
+        total = self.counts.sum(axis=1)
+        old = np.flatnonzero(total > 600)
+        self.counts[old] = (self.counts[old] + 1) >> 1
+        total[old] = self.counts[old].sum(axis=1)
+        scale = (np.float32(_TOTAL0 - _LEAST0 - _SLOTS) / total).astype(np.float32)
+        bound = np.zeros(len(total), np.uint64)
+        packed = np.zeros(len(total), np.uint64)
+        for i in range(_SLOTS - 1):
+            bound += (self.counts[:, i] * scale).astype(np.uint64) + _U(1)
+            packed |= bound << _U(16 * i)
+        self.packed = packed
 
     def predict(self, a: int):
-        """For the first ``a`` lanes: predicted ids of order 2 and 1, their shares."""
-        prev, mask = self.prev[:a], (1 << _TABLE_BITS) - 1
-        self.at1 = self.base[:a] + ((prev * 40503 >> 4) & mask)
-        self.at2 = self.base[:a] + (((prev * 40503) ^ (self.prev2[:a] * 60493)) * 2654435761 >> 16 & mask)
+        """For the first ``a`` lanes: followers (order 2 last, before; order 1 last, before) and bounds."""
+        prev = self.prev[:a]
+        self.at1 = self.base1[:a] + (prev & ((1 << _TABLE1) - 1))
+        self.at2 = self.base2[:a] + (((prev * 40503 + self.prev2[:a] * 60493) * 2654435761 >> 20) & ((1 << _TABLE2) - 1))
         self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
-        self.m = self.mix_base[:a] + ((self.e2 & 3) * 4 + (self.e1 & 3))
-        n = self.seen[self.m]
-        w2 = self.right2[self.m] * _SHARE // n + 8
-        w1 = self.right1[self.m] * _SHARE // n + 8
-        self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
-        return w2, w1
-
-    def update(self, a: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.seen[self.m] += 1
-        self.right2[self.m] += hit2
-        self.right1[self.m] += hit1
-        for table, at, old, guess in ((self.t1, self.at1, self.e1, self.p1), (self.t2, self.at2, self.e2, self.p2)):
-            sure = np.where(guess == ids, np.minimum((old & 3) + 1, 3), 0)
-            table[at] = (ids << 2) | sure
+        a1, b1, a2, b2 = self.e1 & 0xFFFF, self.e1 >> 16, self.e2 & 0xFFFF, self.e2 >> 16
+        known = lambda x, y: (x != 0).view(np.uint8) + (y != 0).view(np.uint8) + ((x == y) & (y != 0)).view(np.uint8)
+        state = (known(a2, b2) << 3) + (known(a1, b1) << 1) + (a1 == a2).view(np.uint8)
+        self.m = self.mix[:a] + state
+        packed = self.packed[self.m]
+        bounds = [(packed >> _U(16 * i)) & _LOW16 for i in range(3)] + [packed >> _U(48)]
+        return (a2, b2, a1, b1), bounds
+
+    def update(self, a: int, symbols: np.ndarray, slot: np.ndarray) -> None:
+        self.flat[self.m * _SLOTS + slot] += 1
+        now = symbols.astype(np.uint32)
+        self.t1[self.at1] = (self.e1 << 16) | now
+        self.t2[self.at2] = (self.e2 << 16) | now
         self.prev2[:a] = self.prev[:a]
-        self.prev[:a] = ids
+        self.prev[:a] = symbols
 
 
-def _blocks(ids: np.ndarray, block_ids: int) -> list[np.ndarray]:
-    return [ids[at : at + block_ids] for at in range(0, len(ids), block_ids)]
+def _rebuild_at(t: int) -> bool:
+    return t % 128 == 0 and t > 0 or t in (8, 16, 32, 64)
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
@@ -115,72 +112,83 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     ids = np.ascontiguousarray(ids, np.uint32)
     if len(ids) and int(ids.max()) >= MAX_ID:
         raise ValueError(f"ids must be below {MAX_ID}")
-    blocks = _blocks(ids, block_ids)
-    lens = [len(b) for b in blocks]
-    digits = _encode_lanes(blocks) if blocks else []
-    head = [MAGIC, struct.pack("<II", VERSION, len(blocks))]
-    head += [struct.pack("<III", n, len(d), zlib.crc32(b.astype("<u4").tobytes())) for b, n, d in zip(blocks, lens, digits, strict=True)]
+    blocks = [ids[at : at + block_ids] for at in range(0, len(ids), block_ids)]
+    n = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    used = np.flatnonzero(n)
+    if len(used) > MAX_ALPHABET:
+        used = np.sort(np.argsort(-n, kind="stable")[:MAX_ALPHABET])
+    escapes = len(ids) - int(n[used].sum())
+    freq = _frequencies(np.concatenate([[max(escapes, 1)], n[used]])) if blocks else np.zeros(0, np.int64)
+    alphabet = zlib.compress(np.diff(used, prepend=0).astype("<u4").tobytes() + np.minimum(freq, 0xFFFF).astype("<u2").tobytes(), 6)
+    head = [MAGIC, struct.pack("<IIII", VERSION, block_ids, len(blocks), len(alphabet)), alphabet]
+    digits = []
+    if blocks:
+        place = np.zeros(len(n), np.int64)
+        place[used] = np.arange(1, len(used) + 1)
+        digits = _encode_lanes(blocks, place, freq)
+    head += [struct.pack("<III", len(b), len(d), zlib.crc32(b.astype("<u4").tobytes())) for b, d in zip(blocks, digits, strict=True)]
     return b"".join(head + [d.astype("<u2").tobytes() for d in digits])
 
 
-def _encode_lanes(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    lanes, steps = len(blocks), len(blocks[0])
-    ids = np.zeros((steps, lanes), np.int64)
+def _encode_lanes(blocks: list[np.ndarray], place: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
+    lanes, steps, last = len(blocks), len(blocks[0]), len(blocks[-1])
+    ids = np.zeros((lanes, steps), np.uint32)
     for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    lens = np.array([len(b) for b in blocks])
-    classes = _class_of(ids.astype(np.uint64))
-    free = _FREE[classes]
-    place = ids.astype(np.uint64) + _U(1) - _FIRST[classes]
-    model = _Model(lanes)
+        ids[i, : len(b)] = b
+    ids = np.ascontiguousarray(ids.T)
+    model = _Model(lanes, freq)
+    width0, cum0 = model.freq.astype(np.uint64), model.cum.astype(np.uint64)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    out = np.zeros(lanes * (2 * steps + 4), np.uint32)
-    at = model.rows * (2 * steps + 4)
-    width = _N_CLASSES + 1
+    room = 3 * steps + 4
+    out = np.zeros(lanes * room, np.uint32)
+    at = np.arange(lanes) * room
+    full = _U(_TOTAL0)
 
     def settle(a: int) -> None:
-        """Carries go to the digit before; lanes whose range got short give a digit out."""
-        c = np.flatnonzero(low[:a] >> _U(48))
+        """Carries go to the digit before; lanes whose range got short give digits out."""
+        c = np.flatnonzero(low[:a] > _LOW48)
         if len(c):
             out[at[c] - 1] += 1
-            low[c] &= _U((1 << 48) - 1)
+            low[c] &= _LOW48
         k = np.flatnonzero(rng[:a] < _U(1 << 32))
-        if len(k):
+        while len(k):
             lk = low[k]
             out[at[k]] = lk >> _U(32)
             at[k] += 1
             low[k] = (lk & _U(0xFFFFFFFF)) << _U(16)
-            rng[k] <<= _U(16)
+            rk = rng[k] << _U(16)
+            rng[k] = rk
+            k = k[rk < _U(1 << 32)]
 
     for t in range(steps):
-        a = int(np.searchsorted(-lens, -t, side="left"))  # blocks are as long as the first but the last
-        if t and t % _SEGMENT == 0:
+        a = lanes if t < last else lanes - 1
+        if _rebuild_at(t):
             model.rebuild()
-        now = ids[t, :a]
-        w2, w1 = model.predict(a)
-        hit2 = model.p2 == now
-        hit1 = (model.p1 == now) & ~hit2
-        rest = _TOTAL - w2 - w1
-        cell = model.rows[:a] * width + classes[t, :a]
-        c0 = model.flat_cum[cell] * rest >> _SLOT_BITS
-        c1 = model.flat_cum[cell + 1] * rest >> _SLOT_BITS
-        start = np.where(hit2, 0, np.where(hit1, w2, w2 + w1 + c0))
-        width_ = np.where(hit2, w2, np.where(hit1, w1, c1 - c0))
-        r = rng[:a] >> _U(16)
-        low[:a] += start.astype(np.uint64) * r
-        rng[:a] = width_.astype(np.uint64) * r
+        raw = ids[t, :a]
+        now = place[raw]
+        followers, bounds = model.predict(a)
+        rest = full - bounds[3]
+        start = (bounds[3] << _U(_FINE)) + (cum0[now] * rest >> _U(_BITS0 - _FINE))
+        end = (bounds[3] << _U(_FINE)) + ((cum0[now] + width0[now]) * rest >> _U(_BITS0 - _FINE))
+        slot = np.full(a, _SLOTS - 1)
+        for i in range(_SLOTS - 2, -1, -1):  # the first that is right counts
+            hit = np.flatnonzero((followers[i] == now) & (now > 0))
+            slot[hit] = i
+            start[hit] = bounds[i - 1][hit] << _U(_FINE) if i else 0
+            end[hit] = bounds[i][hit] << _U(_FINE)
+        r = rng[:a] >> _BITS
+        low[:a] += start * r
+        rng[:a] = (end - start) * r
         settle(a)
-        known = hit2 | hit1
-        bits = np.where(known, _U(0), free[t, :a])
-        r = rng[:a] >> bits
-        low[:a] += np.where(known, _U(0), place[t, :a]) * r
-        rng[:a] = r
-        settle(a)
-        lit = np.flatnonzero(~known)
-        model.counts[lit, classes[t, lit]] += 1
-        model.update(a, now, hit2, hit1)
+        odd = np.flatnonzero(now == 0)
+        if len(odd):
+            r = rng[odd] >> _RAW_BITS
+            low[odd] += raw[odd].astype(np.uint64) * r
+            rng[odd] = r
+            settle(a)
+        model.update(a, now, slot)
     for shift in (32, 16, 0):
-        out[at] = (low >> _U(shift)) & _U(0xFFFF)
+        out[at] = (low >> _U(shift)) & _LOW16
         at += 1
     digits = out.reshape(lanes, -1)
     while True:
@@ -189,78 +197,93 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[np.ndarray]:
             break
         digits &= 0xFFFF
         digits[:, :-1] += over[:, 1:]
-    return [digits[i, : at[i] - i * (2 * steps + 4)] for i in range(lanes)]
+    return [digits[i, : at[i] - i * room] for i in range(lanes)]
 
 
 def decode(chunk: bytes) -> np.ndarray:
     """The ids of a chunk; ValueError if it isn't one or a block's checksum is wrong."""
     if chunk[:4] != MAGIC:
         raise ValueError("not a chunk of coded ids")
-    version, n_blocks = struct.unpack_from("<II", chunk, 4)
+    version, _, n_blocks, packed = struct.unpack_from("<IIII", chunk, 4)
     if version != VERSION:
         raise ValueError(f"chunk version {version} is not known")
-    heads = np.frombuffer(chunk, "<u4", 3 * n_blocks, 12).reshape(-1, 3)
-    digits = np.frombuffer(chunk, "<u2", offset=12 + 12 * n_blocks)
     if not n_blocks:
         return np.zeros(0, np.uint32)
-    ids = _decode_lanes(heads[:, 0].astype(np.int64), heads[:, 1].astype(np.int64), digits)
+    try:
+        alphabet = zlib.decompress(chunk[20 : 20 + packed])
+    except zlib.error as e:
+        raise ValueError("the chunk's alphabet is damaged") from e
+    size = (len(alphabet) - 2) // 6
+    used = np.cumsum(np.frombuffer(alphabet, "<u4", size).astype(np.int64))
+    freq = np.frombuffer(alphabet, "<u2", size + 1, 4 * size).astype(np.int64)
+    freq[np.argmax(freq)] += _TOTAL0 - freq.sum()  # one of 2**16 doesn't fit its field
+    heads = np.frombuffer(chunk, "<u4", 3 * n_blocks, 20 + packed).reshape(-1, 3)
+    digits = np.frombuffer(chunk[20 + packed + 12 * n_blocks :], "<u2")
+    ids = _decode_lanes(heads[:, 0].astype(np.int64), heads[:, 1].astype(np.int64), digits, np.concatenate([[0], used]), freq)
     for i, block in enumerate(ids):
         if zlib.crc32(block.astype("<u4").tobytes()) != int(heads[i, 2]):
             raise ValueError(f"block {i}: wrong checksum")
     return np.concatenate(ids)
 
 
-def _decode_lanes(lens: np.ndarray, n_digits: np.ndarray, digits: np.ndarray) -> list[np.ndarray]:
-    lanes, steps = len(lens), int(lens.max())
-    model = _Model(lanes)
+def _decode_lanes(lens: np.ndarray, n_digits: np.ndarray, digits: np.ndarray, used: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
+    lanes, steps, last = len(lens), int(lens[0]), int(lens[-1])
+    model = _Model(lanes, freq)
+    width0, cum0 = model.freq.astype(np.uint64), model.cum.astype(np.uint64)
+    slots0 = np.repeat(np.arange(len(freq)), model.freq)
     at = np.concatenate([[0], np.cumsum(n_digits)[:-1]])
     digits = np.concatenate([digits, np.zeros(4, digits.dtype)]).astype(np.uint64)
+    stop = len(digits) - 1
     code = (digits[at] << _U(32)) | (digits[at + 1] << _U(16)) | digits[at + 2]
     at = at + 3
     rng = np.full(lanes, 1 << 48, np.uint64)
-    ids = np.zeros((steps, lanes), np.int64)
-    width, n_slots = _N_CLASSES + 1, 1 << _SLOT_BITS
-    last = len(digits) - 1
+    ids = np.zeros((steps, lanes), np.uint32)
+    full, most = _U(_TOTAL0), _U((1 << (16 + _FINE)) - 1)
 
     def settle(a: int) -> None:
         k = np.flatnonzero(rng[:a] < _U(1 << 32))
-        if len(k):
-            code[k] = (code[k] << _U(16)) | digits[np.minimum(at[k], last)]
+        while len(k):
+            code[k] = (code[k] << _U(16)) | digits[np.minimum(at[k], stop)]
             at[k] += 1
-            rng[k] <<= _U(16)
+            rk = rng[k] << _U(16)
+            rng[k] = rk
+            k = k[rk < _U(1 << 32)]
 
     for t in range(steps):
-        a = int(np.searchsorted(-lens, -t, side="left"))
-        if t and t % _SEGMENT == 0:
+        a = lanes if t < last else lanes - 1
+        if _rebuild_at(t):
             model.rebuild()
-        w2, w1 = model.predict(a)
-        r = rng[:a] >> _U(16)
-        v = np.minimum(code[:a] // r, _U(_TOTAL - 1)).astype(np.int64)
-        both = w2 + w1
-        hit2 = v < w2
-        hit1 = ~hit2 & (v < both)
-        rest = _TOTAL - both
-        inner = np.maximum(v - both, 0)
-        u = np.minimum((((inner + 1) << _SLOT_BITS) - 1) // rest, n_slots - 1)
-        cls = model.slots[model.rows[:a] * n_slots + u].astype(np.int64)
-        cell = model.rows[:a] * width + cls
-        c0 = model.flat_cum[cell] * rest >> _SLOT_BITS
-        c1 = model.flat_cum[cell + 1] * rest >> _SLOT_BITS
-        start = np.where(hit2, 0, np.where(hit1, w2, both + c0))
-        width_ = np.where(hit2, w2, np.where(hit1, w1, c1 - c0))
-        code[:a] -= start.astype(np.uint64) * r
-        rng[:a] = width_.astype(np.uint64) * r
-        settle(a)
-        known = hit2 | hit1
-        bits = np.where(known, _U(0), _FREE[cls])
-        r = rng[:a] >> bits
-        place = np.where(known, _U(0), np.minimum(code[:a] // r, (_U(1) << bits) - _U(1)))
-        code[:a] -= place * r
-        rng[:a] = r
+        followers, bounds = model.predict(a)
+        r = rng[:a] >> _BITS
+        v = np.minimum(code[:a] // r, most)
+        part = v >> _U(_FINE)
+        slot = (part >= bounds[0]).view(np.uint8) + (part >= bounds[1]).view(np.uint8) + (part >= bounds[2]).view(np.uint8) + (part >= bounds[3]).view(np.uint8)
+        start, end, now = np.empty(a, np.uint64), np.empty(a, np.uint64), np.empty(a, np.int64)
+        for i in range(_SLOTS - 1):
+            hit = np.flatnonzero(slot == i)
+            start[hit] = bounds[i - 1][hit] << _U(_FINE) if i else 0
+            end[hit] = bounds[i][hit] << _U(_FINE)
+            now[hit] = followers[i][hit]
+        k = np.flatnonzero(slot == _SLOTS - 1)
+        edge = bounds[3][k]
+        rest = full - edge
+        edge <<= _U(_FINE)
+        u = np.minimum((((v[k] - edge + _U(1)) << _U(_BITS0 - _FINE)) - _U(1)) // rest, full - _U(1))
+        symbol = slots0[u.astype(np.int64)]
+        now[k] = symbol
+        start[k] = edge + (cum0[symbol] * rest >> _U(_BITS0 - _FINE))
+        end[k] = edge + ((cum0[symbol] + width0[symbol]) * rest >> _U(_BITS0 - _FINE))
+        code[:a] -= start * r
+        rng[:a] = (end - start) * r
         settle(a)
-        now = np.where(hit2, model.p2, np.where(hit1, model.p1, (_FIRST[cls] + place - _U(1)).astype(np.int64))).astype(np.int64)
-        ids[t, :a] = now
-        lit = np.flatnonzero(~known)
-        model.counts[lit, cls[lit]] += 1
-        model.update(a, now, hit2, hit1)
-    return [ids[:n, i].astype(np.uint32) for i, n in enumerate(lens)]
+        ids[t, :a] = used[now]
+        odd = np.flatnonzero(now == 0)
+        if len(odd):
+            r = rng[odd] >> _RAW_BITS
+            raw = np.minimum(code[odd] // r, _U(MAX_ID))
+            code[odd] -= raw * r
+            rng[odd] = r
+            settle(a)
+            ids[t, odd] = raw
+        model.update(a, now, slot)
+    return [np.ascontiguousarray(ids[:n, i]) for i, n in enumerate(lens)]

@@ -17,15 +17,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import rangecoder
-from .common import col, n_tasks, scratch
+from .common import col, scratch, tasks_for
 
 END_ID = 2
 #: A chunk is closed once it holds so many ids (a document is never split over chunks).
-CHUNK_IDS = 2 << 20
-#: Pieces of text whose ids a worker remembers at most.
-CACHE = 400_000
+CHUNK_IDS = 8 << 20
+#: Pieces of text whose ids a worker remembers at most, in two generations; a piece takes about 200 bytes.
+CACHE = 1_000_000
+#: New pieces that the library gets as the lines of one text.
+_LINES = 1000
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that the tokenizer never joins: its own splitting respects white space in this way.
 _PIECE = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
@@ -51,11 +54,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, np.uint32).tobytes()
+        """Makes ``known`` have all ``pieces``. A line end between two pieces that hold none is always a
+        token of its own, so many are asked for at once."""
+        if len(self.known) + len(pieces) > CACHE // 2:
+            self.known, self.older = {}, self.known
+        new = []
+        for piece in pieces.difference(self.known):
+            if (ids := self.older.get(piece)) is not None:
+                self.known[piece] = ids
+            else:
+                new.append(piece)
+        blank = [p for p in new if p.isspace()]
+        for piece, ids in zip(blank, self._ids(blank), strict=True):
+            self.known[piece] = ids.tobytes()
+        lines = [p for p in new if not p.isspace()]
+        groups = [lines[at : at + _LINES] for at in range(0, len(lines), _LINES)]
+        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups]), strict=True):
+            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            raw, first = ids.tobytes(), 0
+            for piece, end in zip(group, ends, strict=True):
+                self.known[piece] = raw[4 * first : 4 * end]
+                first = end + 1
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -69,10 +95,7 @@ class Encoder:
             # a text with a special token's string goes to the library whole
             odd = [bool(t) and any(s in t for s in self.special) for t in texts[at:end]]
             split = [[] if o else _PIECE.findall(t or "") for o, t in zip(odd, texts[at:end], strict=True)]
-            wanted = set().union(*split)
-            if len(self.known) + len(wanted) > CACHE:
-                self.known.clear()
-            self._learn(wanted - self.known.keys())
+            self._learn(set().union(*split))
             get = self.known.__getitem__
             for o, t, pieces in zip(odd, texts[at:end], split, strict=True):
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if o else np.frombuffer(b"".join(map(get, pieces)), np.uint32))
@@ -125,14 +148,14 @@ def write_ids(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     """Write the ids of every whole text, each followed by ``end_id``, in ascending id order.
 
     A null text is empty (its end id alone); null ids come first; rows of one id are in an order that
-    their texts decide; an empty table gives a table without chunks. Extra columns are not read.
+    their texts decide; an empty table gives a table without chunks. Extra columns are not read. Ids may
+    be of any type that sorts.
     """
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = docs.select(col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange(n_tasks(docs), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    kind = rows.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    rows.mapInArrow(_write(vocab, end_id, arrow), _schema(kind)).write.parquet(out)
+    rows = rows.repartitionByRange(tasks_for(docs), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    kind = rows.schema["id"].dataType
+    rows.mapInArrow(_write(vocab, end_id, to_arrow_type(kind)), _schema(kind.simpleString())).write.parquet(out)
 
 
 def _read(keep_ids: bool):
@@ -160,13 +183,14 @@ def _read(keep_ids: bool):
 def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", keep_ids: bool = True) -> DataFrame:
     """(id, start, n_tokens, ids_crc32, ids) of every document, decoded from the files at ``path``.
 
-    ``start`` counts the ids of all documents before it. ``keep_ids=False`` leaves out the ids.
+    ``start`` counts the ids of all documents before it. ``keep_ids=False`` leaves out the ids. Files
+    without a chunk give no rows; a damaged chunk fails the job.
     """
     chunks = spark.read.parquet(path)
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"part int, id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     rows = chunks.select("part", "first", "doc_ids", "n_tokens", "coded").mapInArrow(_read(keep_ids), schema)
-    # one row per writing task
+    # one row per writing task: MAX_TASKS (16 bytes each) at most
     sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("base"))
