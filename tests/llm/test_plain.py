@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lociflow.llm import langid, licenses, media, neardup, pages, pieces, rangecoder, tokens
@@ -32,6 +34,38 @@ def test_coder_shrinks_and_checks():
         rangecoder.encode(np.array([rangecoder.MAX_ID], np.uint32))
 
 
+def test_coder_beats_deflate_on_documents():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()[:300]
+    ids = np.concatenate(tokens.Encoder().encode(texts))
+    assert len(rangecoder.encode(ids)) < 0.95 * len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+
+
+def test_coder_escapes_rare_ids(monkeypatch):
+    monkeypatch.setattr(rangecoder, "MAX_ALPHABET", 50)
+    ids = np.concatenate([np.arange(3000) % 40, np.random.default_rng(1).integers(0, rangecoder.MAX_ID, 900)]).astype(np.uint32)
+    np.random.default_rng(2).shuffle(ids)
+    assert (rangecoder.decode(rangecoder.encode(ids, 512)) == ids).all()
+
+
+def test_coder_blocks_are_independent():
+    ids = (np.random.default_rng(3).zipf(1.3, 3000) % 500).astype(np.uint32)
+    coded = rangecoder.encode(ids, 1000)
+    assert (rangecoder.decode(coded) == ids).all()
+    damaged = bytearray(coded)
+    damaged[-60] ^= 0x55  # in the last block, before its padding
+    with pytest.raises(ValueError, match="block 2"):
+        rangecoder.decode(bytes(damaged))
+
+
+def test_token_cache_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    e = tokens.Encoder()
+    texts = [" ".join(f"word{i + j}" for j in range(9)) + " \n\t x\n" for i in range(0, 300, 5)] * 2
+    for t in texts:
+        assert list(e.encode([t])[0]) == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(e.known) + len(e.older) <= 60
+
+
 def test_pieces_of_text_are_the_tokenizers_own():
     e = tokens.Encoder()
     rng = random.Random(3)
@@ -144,8 +178,33 @@ def test_page_names_of_the_layout():
     assert text('<nav class="x"><article>n</article></nav><article>a</article>') == "a"
 
 
-def test_sampler_is_exact_and_lossless():
+def test_sampler_takes_texts_of_any_length(monkeypatch):
     m = pieces.Pieces()
+    rng = random.Random(8)
+    words = " ".join("".join(rng.choice("abcdefgh\u6f22\U0001f600") for _ in range(rng.randrange(1, 40))) for _ in range(2000))
+    keys = np.arange(1, dtype=np.uint64)
+    whole = m.segment([words], keys)[0]
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 700)
+    assert (m.segment([words], keys)[0] == whole).all()
+    monkeypatch.setattr(pieces, "CACHE_ROWS", 300)
+    assert (pieces.Pieces().segment([words], keys)[0] == whole).all()
+    run = "".join(rng.choice("abcdefgh") for _ in range(40_000))  # no limit anywhere
+    got = m.segment([run], keys)[0]
+    monkeypatch.setattr(pieces, "WINDOW", 1000)
+    assert (m.segment([run], keys)[0] == got).all() and m.decode(got.tolist()) == run
+
+
+def test_sampler_is_exact_in_windows(monkeypatch):
+    monkeypatch.setattr(pieces, "LONG_CHARS", 3)
+    monkeypatch.setattr(pieces, "WINDOW", 4)
+    check_sampler(pieces.Pieces(), 4000, 0.04)
+
+
+def test_sampler_is_exact_and_lossless():
+    check_sampler(pieces.Pieces(), 20_000, 0.02)
+
+
+def check_sampler(m, n, within):
     texts = ["hello world", "", "  a▁b\n\n x  ", "漢字 é \U0001f600", "a" * 300, "x" + " " * 40 + "y"]
     keys = np.arange(len(texts), dtype=np.uint64)
     got = m.segment(texts, keys)
@@ -163,7 +222,7 @@ def test_sampler_is_exact_and_lossless():
         parts.append(word[at:])
         if all(p in weight for p in parts):
             ways[tuple(parts)] = math.prod(weight[p] for p in parts)
-    total, n = sum(ways.values()), 20_000
+    total = sum(ways.values())
     drawn = Counter(tuple(m.bytes_of[i] for i in x) for x in m.segment([word.decode()] * n, np.arange(n, dtype=np.uint64)))
     assert set(drawn) <= set(ways)
-    assert all(abs(drawn[w] / n - p / total) < 0.02 for w, p in ways.items())
+    assert all(abs(drawn[w] / n - p / total) < within for w, p in ways.items())
