@@ -41,7 +41,6 @@ def reads_view(spark: SparkSession, sf_dir: str, variant: str = "l_partkey") ->
         F.lit(100).cast("long").alias("aligned_len"),
         F.expr("1 - l_discount - l_tax").alias("density"),
         F.expr("l_linestatus = 'O'").alias("mark_supports_var"),
-        F.expr("l_orderkey % 7 = 0 or l_partkey % 3 = 0").alias("thin"),
         F.expr("cast(l_quantity as int) < 11").alias("mark_low_qual"),
         F.expr("(l_orderkey + l_linenumber) % 3 = 0").alias("mark_is_stutter_dup"),
         F.expr(
@@ -59,7 +58,7 @@ def _reads_sql(variant: str = "l_partkey") -> str:
     row_number() OVER (PARTITION BY {variant} ORDER BY {', '.join(ORDER)}) AS read_ord,
     l_orderkey AS qname, l_linenumber AS line, l_returnflag = 'R' AS reverse, l_quantity AS mean_qual,
     CAST(({_DAY}) % (1 + l_partkey % 40) + 1 AS BIGINT) AS la2m, 1 - l_discount - l_tax AS density,
-    l_linestatus = 'O' AS supports, (l_orderkey % 7 = 0 OR l_partkey % 3 = 0) AS thin,
+    l_linestatus = 'O' AS supports,
     CAST(floor(l_quantity) AS INT) < 11 AS low_qual, (l_orderkey + l_linenumber) % 3 = 0 AS dup,
     list_sort([CAST(({_DAY}) % 90 AS BIGINT), CAST(({_DAY}) % 90 + 20 + CAST(floor(l_quantity) AS INT) // 10 AS BIGINT),
       CAST(({_DAY}) % 90 + 2 * l_linenumber AS BIGINT), CAST(({_DAY}) % 90 + 2 * l_linenumber + 22 AS BIGINT)]) AS ends
@@ -74,7 +73,7 @@ def _flags(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     rows = reads_view(spark, sf_dir)
     ok = F.col("mark_supports_var")
     pool = E.builtin().flaggers
-    passes = {"LQF": ok, "DVF": ok & ~F.col("mark_low_qual"), "ALF": ok & F.expr("qname % 7 = 0"), "ADF": ok & F.col("thin")}
+    passes = {"LQF": ok, "DVF": ok & ~F.col("mark_low_qual"), "ALF": ok, "ADF": ok}
     tests = [(n, pool[n], K.DEFAULT_PARAMS[n], passes[n]) for n in names]
     out = FL.run(_sites(spark, sf_dir), rows, KEYS, tests)
     return out.select("variant_id", "alt", "flag", "outcome", "info_bits", "reads_seen", "extra")
@@ -98,7 +97,7 @@ def _proportion_sql(flag: str, passes: str, marked: str, threshold: float) -> st
 _LQF_SQL = _proportion_sql("LQF", "supports", "low_qual OR dup", 0.99)
 _DVF_SQL = _proportion_sql("DVF", "supports AND NOT low_qual", "dup", 0.49)
 _ALF_SQL = f"""WITH r AS ({_reads_sql()}), g AS (
-    SELECT variant_id, count(*) AS n, median(density) AS med FROM r WHERE supports AND qname % 7 = 0 GROUP BY 1),
+    SELECT variant_id, count(*) AS n, median(density) AS med FROM r WHERE supports GROUP BY 1),
   s AS (SELECT p_partkey AS variant_id, substr(p_brand, 1, 1) AS alt, coalesce(n, 0) AS n, med FROM part LEFT JOIN g ON p_partkey = g.variant_id)
   SELECT variant_id, alt, 'ALF' AS flag, CASE WHEN n = 0 THEN 'NA' WHEN med <= 0.93 THEN 'FAIL' ELSE 'PASS' END AS outcome,
     CAST(CASE WHEN n = 0 THEN 1 ELSE 4 END AS INT) AS info_bits, CAST(n AS BIGINT) AS reads_seen,
@@ -120,7 +119,7 @@ def _adf_sql() -> str:
     edge = "((nearf + nearr) / CAST(nf + nr AS DOUBLE) < 0.9)"
     good = f"((CASE WHEN {edge} THEN 4 ELSE 0 END) + (CASE WHEN {spread('f', 2, 2.0)} AND {spread('r', 2, 2.0)} THEN 16 ELSE 0 END) + (CASE WHEN {spread('f', 1, 10.0)} OR {spread('r', 1, 10.0)} THEN 32 ELSE 0 END))"
     return f"""WITH r AS ({_reads_sql()}), g AS (
-    SELECT variant_id, {cols('f', 'NOT reverse')}, {cols('r', 'reverse')} FROM r WHERE supports AND thin GROUP BY 1),
+    SELECT variant_id, {cols('f', 'NOT reverse')}, {cols('r', 'reverse')} FROM r WHERE supports GROUP BY 1),
   s AS (SELECT p_partkey AS variant_id, substr(p_brand, 1, 1) AS alt, coalesce(nf, 0) AS nf, coalesce(nr, 0) AS nr, nearf, nearr, madf, madr, s1f, s1r, s2f, s2r
     FROM part LEFT JOIN g ON p_partkey = g.variant_id),
   t AS (SELECT *, nf <= 1 AND nr <= 1 AS few, nf > 1 AND nr > 1 AS both_, nf + nr - nearf - nearr > 0 AS enough,
@@ -247,8 +246,8 @@ def mark_low_qual(spark, sf_dir):
         F.expr("if(l_suppkey % 3 = 0, 'DEL', 'SUB')").alias("mut_type"),
         F.expr("substring('ACG', 1, 1 + cast(l_partkey % 3 as int))").alias("alt"),
     )
-    s = C.steps(F.col("cigar"))
-    rows = li.withColumn("qa_start", C.clip_start(s)).withColumn("qa_end", F.lit(10) - C.clip_end(s))
+    s = F.col("steps")
+    rows = li.withColumn("steps", C.steps(F.col("cigar"))).withColumns({"qa_start": C.clip_start(s), "qa_end": F.lit(10) - C.clip_end(s)})
     bad = M.low_quality(11, 35, 31)
     return rows.groupBy("l_partkey").agg(F.count("*").alias("n_reads"), F.count_if(bad).alias("n_low"))
 
