@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import logging
 import sys
+import threading
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,9 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("-o", "--output-config", help="write the merged configuration here as JSON")
     run.add_argument("-O", "--output", required=True, help="folder for the VCF part files")
     run.add_argument("--dup-mode", default="as_implemented", choices=["as_implemented", "as_documented"])
-    run.add_argument("--strict", action="store_true", help="fail on reads that lack essential fields")
+    run.add_argument("--lenient", action="store_true", help="reads that lack essential fields don't support an allele, instead of ending the run")
     run.add_argument("-q", "--quiet", action="count", default=0)
-    run.add_argument("-p", "--progress", action="store_true", help="log each step; tasks are in Spark's own UI")
+    run.add_argument("-p", "--progress", action="store_true", help="log how many tasks of the running stages are done, every few seconds")
     ex = sub.add_parser("explain-var", help="explain FLAG=alt|outcome|bits|reads|extra")
     ex.add_argument("info")
     gp = sub.add_parser("get-params", help="parameters that made a VCF")
@@ -51,6 +53,32 @@ def configuration(files: list[str], sets: list[list[str]]) -> dict:
     return config
 
 
+PROGRESS_SECONDS = 5.0
+
+
+@contextlib.contextmanager
+def progress(spark: SparkSession, seconds: float):
+    """Logs the running stages' tasks every so many seconds (0: never)."""
+    over = threading.Event()
+    tracker = spark.sparkContext.statusTracker()
+
+    def watch() -> None:
+        while not over.wait(seconds):
+            for k in tracker.getActiveStageIds():
+                if (stage := tracker.getStageInfo(k)) is not None:
+                    log.info("%s: %d of %d tasks done", stage.name, stage.numCompletedTasks, stage.numTasks)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    if seconds:
+        thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        if seconds:
+            thread.join()
+
+
 def flag(spark: SparkSession, args: argparse.Namespace) -> None:
     config = configuration(args.config, args.sets)
     head = vcf.header(spark, args.vcf)
@@ -71,12 +99,11 @@ def flag(spark: SparkSession, args: argparse.Namespace) -> None:
     reads = None
     for i, (sample, path) in enumerate(chosen.items()):
         one = alignments.read_alignment(spark, path, sample, i)
-        reads = one if reads is None else reads.unionByName(one)
+        reads = one if reads is None else reads.unionByName(one, allowMissingColumns=True)
     variants = vcf.read_vcf(spark, args.vcf)
-    if args.progress:
-        log.info("flagging %s with %d alignment files", args.vcf, len(chosen))
-    results = engine.flag(variants, reads, config, dup_mode=args.dup_mode, strict=args.strict)
-    vcf.write_vcf(engine.records(variants, results), vcf.out_header(head, config, list(chosen)), args.output)
+    results = engine.flag(variants, reads, config, dup_mode=args.dup_mode, strict=not args.lenient)
+    with progress(spark, PROGRESS_SECONDS if args.progress else 0):
+        vcf.write_vcf(engine.records(variants, results), vcf.out_header(head, config, list(chosen)), args.output)
     if args.output_config:
         with open(args.output_config, "w") as f:
             json.dump(config, f, indent="  ")
@@ -90,8 +117,8 @@ def explain_text(text: str) -> list[str]:
         raise ValueError(f"not a flag's INFO value: {text}")
     alt, outcome, code, reads, extra = fields[:5]
     names = [k for k, v in info.BITS[flag_name].items() if v & int(code, 16)]
-    what = {"ADF": "on strand", "ALF": "with median alignment score of"}.get(flag_name, "with read loss of")
-    return [f"FLAG: {flag_name}", f"ALT: {alt}", f"variant outcome was {outcome} via conditions {names} {what} {extra}", f"reads examined: {reads}"]
+    what = {"ADF": "strands tested", "ALF": "median score per base"}.get(flag_name, "share of marked reads")
+    return [f"FLAG: {flag_name}", f"ALT: {alt}", f"OUTCOME: {outcome}", f"REASONS: {', '.join(names)}", f"READS: {reads}", f"{what}: {extra}"]
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -11,10 +11,9 @@ MATCH, QUERY, REF = ("M", "=", "X"), ("M", "=", "X", "I", "S"), ("M", "=", "X",
 
 def steps(cigar: Column) -> Column:
     """array<struct<op, n>>; null for a null or ``*`` CIGAR."""
-    ops = F.regexp_extract_all(cigar, F.lit(_STEP), F.lit(2))
-    lens = F.regexp_extract_all(cigar, F.lit(_STEP), F.lit(1))
-    both = F.zip_with(ops, lens, lambda o, n: F.struct(o.alias("op"), n.cast("long").alias("n")))
-    return F.when(cigar != "*", both)
+    each = F.regexp_extract_all(cigar, F.lit(_STEP), F.lit(0))
+    op = lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.left(x, F.length(x) - 1).cast("long").alias("n"))
+    return F.when(cigar != "*", F.transform(each, op))
 
 
 def problem(cigar: Column) -> Column:
@@ -32,7 +31,8 @@ def _length(s: Column, kinds) -> Column:
 
 def ref_end(cigar: Column, start: Column) -> Column:
     """End (exclusive) on the reference of a read that starts at ``start``; null if there is a problem."""
-    return F.when(problem(cigar).isNull(), start + _length(steps(cigar), REF))
+    sound = (cigar != "") & cigar.rlike(rf"^(?:{_STEP})*\d*$")
+    return F.when(sound, start + _length(steps(cigar), REF))
 
 
 def query_length(s: Column) -> Column:
@@ -85,4 +85,4 @@ def aligned_in(s: Column, start: Column, low: Column, high: Column, axis: str) -
 
 def endpoints(ref_start: Column, end: Column, mate_start: Column, mate_end: Column) -> Column:
     """The fragment's four ends in ascending order."""
-    return F.array_sort(F.array(*[c.cast("long") for c in (ref_start, end, mate_start, mate_end)]))
+    return F.sort_array(F.array(*[c.cast("long") for c in (ref_start, end, mate_start, mate_end)]))

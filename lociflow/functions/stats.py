@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def median(values: Column) -> Column:
     """Median of an array of numbers; null if empty."""
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     n = F.size(values)
     pick = lambda i: F.get(s, i.cast("int")).cast("double")
     return F.when(n > 0, (pick(F.floor((n - 1) / 2)) + pick(F.floor(n / 2))) / 2)
@@ -26,9 +26,14 @@ def mad(values: Column, center: Column) -> Column:
 
 def spread_over(values: Column, bound: float) -> Column:
     """Whether the sample standard deviation exceeds ``bound``, from whole-number sums (no rounding)."""
-    n = F.size(values).cast("double")
-    one = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
-    two = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double")
+    one = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+    two = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x * x)
+    return spread_over_sums(F.size(values), one, two, bound)
+
+
+def spread_over_sums(n: Column, one: Column, two: Column, bound: float) -> Column:
+    """:func:`spread_over` from the number of values, their sum and the sum of their squares."""
+    n, one, two = (c.cast("double") for c in (n, one, two))
     return (n > 1) & (n * two - one * one > F.lit(float(bound) ** 2) * n * (n - 1))
 
 

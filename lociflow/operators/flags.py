@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import info, stats
 
 Columns = dict[str, Column]
 
@@ -21,11 +21,13 @@ Columns = dict[str, Column]
 class Flagger:
     """``aggregates(passes, params)`` are computed in the shared groupBy under a prefix; ``result(params,
     get)`` turns them into outcome, info_bits, reads_seen and extra. ``derive`` lists steps of columns
-    computed in between, each step from those before it."""
+    computed in between, each step from those before it. ``bits``: all reason bits that the test may set
+    (0: any)."""
 
     aggregates: Callable[[Column, dict], Columns]
     result: Callable[[dict, Callable[[str], Column]], Columns]
     derive: Callable[[dict, Callable[[str], Column]], list[Columns]] = lambda params, get: []
+    bits: int = 0
 
 
 def proportion(marks: tuple[str, ...]) -> Flagger:
@@ -50,7 +52,7 @@ def proportion(marks: tuple[str, ...]) -> Flagger:
             "extra_na": F.lit("0"),
         }
 
-    return Flagger(aggregates, result)
+    return Flagger(aggregates, result, bits=sum(info.PROPORTION_BITS.values()))
 
 
 def _score_aggregates(passes: Column, params: dict) -> Columns:
@@ -70,7 +72,7 @@ def _score_result(params: dict, get) -> Columns:
     }
 
 
-ALIGNMENT_SCORE = Flagger(_score_aggregates, _score_result)
+ALIGNMENT_SCORE = Flagger(_score_aggregates, _score_result, bits=sum(info.BITS["ALF"].values()))
 
 
 def _place_aggregates(passes: Column, params: dict) -> Columns:
@@ -78,7 +80,9 @@ def _place_aggregates(passes: Column, params: dict) -> Columns:
     near = F.col("la2m") / F.col("aligned_len") <= float(params["edge_definition"])
     for strand, on in (("f", ~F.col("reverse")), ("r", F.col("reverse"))):
         here = passes & on
-        out[strand] = F.collect_list(F.when(here, F.col("la2m").cast("long")))  # a pileup's depth of longs
+        place = F.when(here, F.col("la2m").cast("long"))
+        out[strand] = F.collect_list(place)  # a pileup's depth of longs, for the deviations
+        out[f"{strand}_n"], out[f"{strand}_sum"], out[f"{strand}_squares"] = F.count(place), F.sum(place), F.sum(place * place)
         out[f"{strand}_near"] = F.count_if(here & near)
     return out
 
@@ -87,7 +91,7 @@ def _place_derive(params: dict, get) -> list[Columns]:
     sd = {"one": params["min_sd_one_strand"], "weak": params["min_sd_both_strand_weak"], "strong": params["min_sd_both_strand_strong"]}
     return [
         {f"{s}_med": stats.median(get(s)) for s in "fr"},
-        {f"{s}_mad": stats.mad(get(s), get(f"{s}_med")) for s in "fr"} | {f"{s}_sd_{k}": stats.spread_over(get(s), v) for s in "fr" for k, v in sd.items()},
+        {f"{s}_mad": stats.mad(get(s), get(f"{s}_med")) for s in "fr"} | {f"{s}_sd_{k}": stats.spread_over_sums(get(f"{s}_n"), get(f"{s}_sum"), get(f"{s}_squares"), v) for s in "fr" for k, v in sd.items()},
     ]
 
 
@@ -95,7 +99,7 @@ def _place_result(params: dict, get) -> Columns:
     low = params["low_n_supporting_reads_boundary"]
     n = get("n")
     near_f, near_r = get("f_near"), get("r_near")
-    nf, nr = F.size(get("f")), F.size(get("r"))
+    nf, nr = get("f_n"), get("r_n")
     many_f, many_r = nf > low, nr > low
 
     def spread(strand: str, kind: str, min_mad: float) -> Column:
@@ -105,7 +109,7 @@ def _place_result(params: dict, get) -> Columns:
     edge_at = float(p["edge_clustering_threshold"])
 
     def one_strand(strand: str) -> tuple[Column, Column]:
-        edge = get(f"{strand}_near") / F.size(get(strand)) < edge_at
+        edge = get(f"{strand}_near") / get(f"{strand}_n") < edge_at
         dist = spread(strand, "one", p["min_MAD_one_strand"])
         bad = F.when(edge, 0).otherwise(4) + F.when(dist, 0).otherwise(8)
         return edge & dist, F.when(edge & dist, 12).otherwise(bad)
@@ -130,7 +134,16 @@ def _place_result(params: dict, get) -> Columns:
     }
 
 
-PLACEMENT = Flagger(_place_aggregates, _place_result, _place_derive)
+PLACEMENT = Flagger(_place_aggregates, _place_result, _place_derive, bits=sum(info.BITS["ADF"].values()))
+
+
+def checked_bits(name: str, test: Flagger, bits: Column) -> Column:
+    """``bits``; a result without a reason, or with one that the test doesn't have, fails the job."""
+    wrong = F.coalesce(bits <= 0, F.lit(True))
+    if test.bits:
+        wrong = wrong | (bits.bitwiseAND(~test.bits) != 0)
+    why = F.concat(F.lit(f"{name} gave reason bits that it can't have: "), F.coalesce(bits.cast("string"), F.lit("none")))
+    return F.when(wrong, F.raise_error(why).cast("int")).otherwise(bits)
 
 
 def run(sites: DataFrame, rows: DataFrame, keys: list[str], tests: list[tuple[str, Flagger, dict, Column]]) -> DataFrame:
@@ -160,7 +173,7 @@ def run(sites: DataFrame, rows: DataFrame, keys: list[str], tests: list[tuple[st
             F.struct(
                 F.lit(name).alias("flag"),
                 r["outcome"].alias("outcome"),
-                r["info_bits"].cast("int").alias("info_bits"),
+                checked_bits(name, t, r["info_bits"].cast("int")).alias("info_bits"),
                 r["reads_seen"].cast("long").alias("reads_seen"),
                 r.get("stat", F.lit(None).cast("double")).cast("double").alias("stat"),
                 r.get("text", r.get("extra_na", F.lit(None))).cast("string").alias("text"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,12 +61,11 @@ def supports(row_strict: bool = False) -> Column:
     deleted = (covered == c("stop0") - c("pos0") + 1) & (inner == 0) & m.isNotNull() & last.isNotNull()
     by_type = F.when(c("mut_type") == "SUB", bases).when(c("mut_type") == "INS", bases & inserted).when(c("mut_type") == "DEL", deleted).otherwise(False)
     by_type = F.coalesce(by_type, F.lit(False))
+    usable = F.coalesce(testable(c("flag")), F.lit(False))
     if row_strict:
         why = F.concat(F.lit("read lacks an essential field: "), F.coalesce(c("qname"), F.lit("?")))
-        by_type = F.when(missing, F.raise_error(why).cast("boolean")).otherwise(by_type)
-    else:
-        by_type = ~missing & by_type
-    return testable(c("flag")) & by_type
+        return F.when(~usable, F.lit(False)).when(missing, F.raise_error(why).cast("boolean")).otherwise(by_type)
+    return usable & ~missing & by_type
 
 
 def low_quality(min_mapping: float, min_clip: float, min_base: float) -> Column:
@@ -81,12 +81,20 @@ def low_quality(min_mapping: float, min_clip: float, min_base: float) -> Column:
 
 
 def mark_overlap(rows: DataFrame, eligible: Column, keys: list[str], name: str = "qname", quality: str = "mean_qual", order: str = "read_ord", out: str = column(OVERLAP)) -> DataFrame:
-    """Of the reads of one name, each later read against the first: the worse is marked, ties the later."""
+    """Of the reads of one name, each later read against the first: the worse is marked, ties the later.
+
+    A read that is there twice (same sample and place in the order) fails the job.
+    """
     ok = eligible & F.col(name).isNotNull() & F.col(quality).isNotNull()
     rows = rows.withColumn("__ok", ok)
     group = Window.partitionBy(*keys, "__ok", name)
     ordered = group.orderBy(order)
-    rows = rows.select("*", F.row_number().over(ordered).alias("__rn"), F.first(quality).over(ordered).alias("__q1"))
+    same = F.lag(order).over(ordered) == F.col(order)
+    if "sample" in rows.columns:
+        same = same & F.lag("sample").over(ordered).eqNullSafe(F.col("sample"))
+    twice = F.raise_error(F.concat(F.lit("a read is there twice: "), F.col(name).cast("string"))).cast("int")
+    number = F.when(F.col("__ok") & F.coalesce(same, F.lit(False)), twice).otherwise(F.row_number().over(ordered))
+    rows = rows.select("*", number.alias("__rn"), F.first(quality).over(ordered).alias("__q1"))
     later = F.max(F.when(F.col("__rn") > 1, F.col(quality))).over(group)
     marked = F.when(F.col("__rn") > 1, F.col(quality) <= F.col("__q1")).otherwise(F.coalesce(later > F.col("__q1"), F.lit(False)))
     return rows.withColumn(out, F.col("__ok") & marked).drop("__ok", "__rn", "__q1")
@@ -127,49 +135,76 @@ def duplicate_marks(ends: list, quality: list[float], window: int, documented: b
     return marks
 
 
-def mark_duplicates(rows: DataFrame, eligible: Column, keys: list[str], window: int, documented: bool = False, quality: str = "mean_qual", order: str = "read_ord", ends: str = "ends", out: str = column(DUPLICATE)) -> DataFrame:
+def _boundaries(columns: list[pa.Array]) -> np.ndarray:
+    """Row numbers at which a new group of equal keys begins (but 0)."""
+    change = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        x = c.to_numpy(zero_copy_only=False)
+        change |= x[1:] != x[:-1]
+    return np.flatnonzero(change) + 1
+
+
+def mark_duplicates(rows: DataFrame, eligible: Column, keys: list[str], window: int, documented: bool = False, quality: str = "mean_qual", order: str = "read_ord", ends: str = "ends", out: str = column(DUPLICATE), partitioned: bool = False) -> DataFrame:
     """Reads of one fragment pool but the best, marked by one ordered pass over each (variant, allele).
 
-    Rows are hash-partitioned by ``keys`` and sorted; a task streams over them and holds one group of
-    narrow rows at a time. A window of -1 marks nothing.
+    Rows are hash-partitioned by ``keys`` (``partitioned``: they already are) and sorted; a task streams
+    over them and holds one group at a time, each row once. A window of -1 marks nothing.
     """
     if window < 0:
         return rows.withColumn(out, F.lit(False))
     ok = F.coalesce(eligible & F.col(ends).isNotNull() & F.col(quality).isNotNull(), F.lit(False))
-    ready = rows.withColumn("__ok", ok).withColumn("__e0", F.get(ends, 0)).repartition(*keys).sortWithinPartitions(*keys, "__e0", order)
+    ready = rows.withColumn("__ok", ok).withColumn("__e0", F.get(ends, 0))
+    ready = (ready if partitioned else ready.repartition(*keys)).sortWithinPartitions(*keys, "__e0", order)
     schema = T.StructType([*ready.schema.fields, T.StructField(out, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
-
-        def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            groups: dict = {}
-            key = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
-            good, e, q = (table.column(c).to_pylist() for c in ("__ok", ends, quality))
-            for i, k in enumerate(key):
-                if good[i]:
-                    groups.setdefault(k, []).append(i)
-            marks = [False] * len(key)
-            for members in groups.values():
-                for i, m in zip(members, duplicate_marks([e[i] for i in members], [q[i] for i in members], window, documented), strict=True):
-                    marks[i] = m
-            yield from table.append_column(out, pa.array(marks, pa.bool_())).combine_chunks().to_batches()
-
+        held: list[pa.RecordBatch] = []  # of the group that is still open
+
+        def group() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            good = np.flatnonzero(table.column("__ok").to_numpy())
+            marks = np.zeros(len(table), bool)
+            if len(good) > 1:
+                some = table.select([ends, quality]).take(pa.array(good))
+                marks[good] = duplicate_marks(some.column(ends).to_pylist(), some.column(quality).to_pylist(), window, documented)
+            at = 0
+            for batch in held:
+                yield batch.append_column(out, pa.array(marks[at : at + len(batch)]))
+                at += len(batch)
+
+        mark = None
         for batch in batches:
             if not len(batch):
                 continue
-            table = pa.Table.from_batches([batch])
-            if carry is not None:
-                table = pa.concat_tables([carry, table])
-            last = [table.column(k)[len(table) - 1].as_py() for k in keys]
-            at = len(table)
-            columns = [table.column(k).to_pylist() for k in keys]
-            while at > 0 and [c[at - 1] for c in columns] == last:
-                at -= 1
-            if at:
-                yield from finish(table.slice(0, at))
-            carry = table.slice(at)
-        if carry is not None and len(carry):
-            yield from finish(carry)
+            cuts = [0, *_boundaries([batch.column(k) for k in keys]).tolist(), len(batch)]
+            first = [batch.column(k)[0] for k in keys]
+            if held and first != mark:
+                yield from group()
+                held.clear()
+            # whole groups inside the batch are done in one go
+            last = cuts[-2]
+            if last:
+                held.append(batch.slice(0, cuts[1]))
+                yield from group()
+                held.clear()
+                if cuts[1] < last:
+                    yield _marked_groups(batch.slice(cuts[1], last - cuts[1]), [c - cuts[1] for c in cuts[1:-1]], ends, quality, window, documented, out)
+            held.append(batch.slice(last))
+            mark = [batch.column(k)[len(batch) - 1] for k in keys]
+        if held:
+            yield from group()
 
     return ready.mapInArrow(run, schema).drop("__ok", "__e0")
+
+
+def _marked_groups(batch: pa.RecordBatch, cuts: list[int], ends: str, quality: str, window: int, documented: bool, out: str) -> pa.RecordBatch:
+    """``batch`` with the marks of its groups, which begin and end at ``cuts``."""
+    good = np.flatnonzero(batch.column("__ok").to_numpy(zero_copy_only=False))
+    some = pa.array(good)
+    e, q = batch.column(ends).take(some).to_pylist(), batch.column(quality).take(some).to_pylist()
+    marks = np.zeros(len(batch), bool)
+    edges = np.searchsorted(good, cuts).tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b - a > 1:
+            marks[good[a:b]] = duplicate_marks(e[a:b], q[a:b], window, documented)
+    return batch.append_column(out, pa.array(marks))

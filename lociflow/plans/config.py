@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import copy
 import json
+import logging
 import tomllib
 from pathlib import Path
 from typing import Any
 
 from ..operators import marks as M
 
+log = logging.getLogger("lociflow")
+
 # The default graph.
 DEFAULT_EXEC: dict[str, Any] = {
     "mark-support": {"enable": True, "require-marks": [], "exclude-marks": []},
@@ -46,7 +49,7 @@ DEFAULT_PARAMS: dict[str, dict[str, Any]] = {
         "low_n_supporting_reads_boundary": 1,
     },
 }
-#: (type, least, most) of each parameter; bounds are inclusive.
+# Fixed values: (type, least, most) of each parameter; bounds are inclusive.
 _NAT, _REAL, _UNIT = (int, 0, None), (float, 0, None), (float, 0, 1)
 RULES: dict[str, dict[str, tuple]] = {
     "mark-support": {},
@@ -116,17 +119,19 @@ def merge(parts: list[dict[str, Any]]) -> dict[str, Any]:
 
 
 def override(config: dict[str, Any], path: str, value: str) -> dict[str, Any]:
-    """A copy with the existing leaf at the dotted ``path`` set to a JSON value (or else plain text)."""
+    """A copy with the existing leaf at the dotted ``path`` set to a JSON value; a text that isn't JSON is
+    taken as it is, with a warning. Sections and lists are no leaves."""
     out = copy.deepcopy(config)
     at = out
     *parents, leaf = path.split(".")
     for key in parents:
         at = at.get(key) if isinstance(at, dict) else None
-    if not isinstance(at, dict) or leaf not in at or isinstance(at[leaf], dict):
+    if not isinstance(at, dict) or leaf not in at or isinstance(at[leaf], (dict, list)):
         raise ConfigError(f"no such value in the configuration: {path}")
     try:
         at[leaf] = json.loads(value)
     except ValueError:
+        log.warning("%s: %r isn't JSON and is taken as text", path, value)
         at[leaf] = value
     return out
 

@@ -1,7 +1,8 @@
 """The whole plan: variants and reads in, one result per (variant, allele, flag) out.
 
-Two shuffles carry reads: the binned range join, and one by (variant, allele) that the window, the
-ordered pass and the final aggregation share where Spark can keep it.
+Two shuffles carry reads: the binned range join, and one by (variant, allele) that the window over
+mates and the ordered pass share. The final aggregation combines inside the tasks that the second left,
+so its own shuffle carries one row for each (variant, allele) and task.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def condition(build: Callable[[dict], Column], mark: str) -> Tagger:
     return lambda rows, eligible, params: rows.withColumn(M.column(mark), F.coalesce(eligible & build(params), F.lit(False)))
 
 
-def builtin(dup_mode: str = "as_implemented", strict: bool = False) -> Registry:
+def builtin(dup_mode: str = "as_implemented", strict: bool = True) -> Registry:
     if dup_mode not in ("as_implemented", "as_documented"):
         raise K.ConfigError(f"dup_mode: {dup_mode}")
     out = Registry()
@@ -58,7 +59,7 @@ def builtin(dup_mode: str = "as_implemented", strict: bool = False) -> Registry:
         "mark-support": condition(lambda p: M.supports(strict), M.SUPPORT),
         "mark-overlap": lambda rows, ok, p: M.mark_overlap(rows, ok, KEYS),
         "mark-low-qual": condition(lambda p: M.low_quality(p["min_mapping_quality"], p["min_avg_clip_quality"], p["min_base_quality"]), M.LOW_QUAL),
-        "mark-duplicates": lambda rows, ok, p: M.mark_duplicates(rows, ok, KEYS, p["duplication_window_size"], dup_mode == "as_documented"),
+        "mark-duplicates": lambda rows, ok, p: M.mark_duplicates(rows, ok, KEYS, p["duplication_window_size"], dup_mode == "as_documented", partitioned=True),
     }
     out.flaggers = {
         "LQF": FL.proportion((M.column(M.LOW_QUAL), M.column(M.DUPLICATE))),
@@ -81,9 +82,14 @@ def predicate(required: list[str], excluded: list[str], columns: list[str]) -> C
 
 
 def check_reads(rows: DataFrame) -> DataFrame:
-    """Fails the job on tags of a wrong type (``AS`` neither i nor C)."""
+    """Fails the job on tags of a wrong type (``AS`` neither i nor C; ``MC`` not Z, where the source says
+    so), of reads that a variant touches."""
     bad = F.col("as_score").isNotNull() & ~F.col("as_type").isin("i", "C")
-    return rows.withColumn("as_score", F.when(bad, F.raise_error(F.concat(F.lit("AS tag of type "), F.col("as_type"))).cast("int")).otherwise(F.col("as_score")))
+    rows = rows.withColumn("as_score", F.when(bad, F.raise_error(F.concat(F.lit("AS tag of type "), F.col("as_type"))).cast("int")).otherwise(F.col("as_score")))
+    if "mc_type" in rows.columns:
+        odd = M.testable(F.col("flag")) & (F.col("mc_type") != "Z")
+        rows = rows.withColumn("mc", F.when(odd, F.raise_error(F.concat(F.lit("MC tag of type "), F.col("mc_type")))).otherwise(F.col("mc"))).drop("mc_type")
+    return rows
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -103,7 +109,11 @@ def features(rows: DataFrame) -> DataFrame:
     )
 
 
-def marked_reads(variants: DataFrame, reads: DataFrame, config: dict[str, Any], registry: Registry | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, list]:
+#: What the built-in marks over groups and the built-in tests read, besides the marks.
+NARROW = [*KEYS, "sample", "read_ord", "qname", "mean_qual", "ends", "density", "reverse", "aligned_len", "la2m"]
+
+
+def marked_reads(variants: DataFrame, reads: DataFrame, config: dict[str, Any], registry: Registry | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame, list]:
     """(sites, rows, flag steps): alleles, their pileups with all marks, and the flags still to run."""
     registry = registry or builtin(strict=strict)
     steps = K.compile_exec(config, registry.adds, registry.rules, tuple(registry.flaggers))
@@ -114,17 +124,20 @@ def marked_reads(variants: DataFrame, reads: DataFrame, config: dict[str, Any],
     if only_support and any(name == "mark-support" for name, _, _ in steps):
         reads = reads.filter(M.testable(F.col("flag")))
     rows = features(check_reads(P.pileup(sites, reads)))
-    later = []
+    own = set(registry.taggers) == set(K.ADDS) and set(registry.flaggers) == set(K.FLAGS)
+    later, dealt = [], False
     for name, required, excluded in steps:
         passes = predicate(required, excluded, rows.columns)
         params = config["params"].get(name, {})
         if name not in registry.taggers:
             later.append((name, registry.flaggers[name], params, passes))
             continue
+        if name not in ROW_LOCAL and not dealt:
+            rows, dealt = rows.repartition(*KEYS), True
         rows = registry.taggers[name](rows, passes, params)
         # bases and qualities need not reach the window and the ordered pass
-        if set(registry.taggers) == set(K.ADDS) and _row_local_done(name, steps):
-            rows = rows.drop("seq", "quals", "steps", "mc", "cigar")
+        if own and _row_local_done(name, steps):
+            rows = rows.select([c for c in rows.columns if c in NARROW or c.startswith("mark_")])
     for mark in registry.adds.values():
         if M.column(mark) not in rows.columns:
             rows = rows.withColumn(M.column(mark), F.lit(False))
@@ -132,6 +145,10 @@ def marked_reads(variants: DataFrame, reads: DataFrame, config: dict[str, Any],
     return sites, rows, later
 
 
+#: Taggers that look at one read at a time.
+ROW_LOCAL = ("mark-support", "mark-low-qual")
+
+
 def _marks(steps: list, name: str) -> tuple[list[str], list[str]]:
     return next((r, e) for n, r, e in steps if n == name)
 
@@ -139,14 +156,16 @@ def _marks(steps: list, name: str) -> tuple[list[str], list[str]]:
 def _row_local_done(name: str, steps: list) -> bool:
     """Whether no process after ``name`` reads bases or qualities."""
     names = [s[0] for s in steps]
-    return not {"mark-support", "mark-low-qual"} & set(names[names.index(name) + 1 :])
+    return not set(ROW_LOCAL) & set(names[names.index(name) + 1 :])
 
 
-def flag(variants: DataFrame, reads: DataFrame, config: dict[str, Any] | None = None, registry: Registry | None = None, dup_mode: str = "as_implemented", strict: bool = False) -> DataFrame:
+def flag(variants: DataFrame, reads: DataFrame, config: dict[str, Any] | None = None, registry: Registry | None = None, dup_mode: str = "as_implemented", strict: bool = True) -> DataFrame:
     """(variant_id, alt_idx, alt, flag, outcome, info_bits, reads_seen, stat, extra, info).
 
     ``variants`` and ``reads`` have the schemas of :mod:`lociflow.schema`. Every testable allele of
-    every live record has a row for each enabled flag, NA where it has no reads.
+    every live record has a row for each enabled flag, NA where it has no reads. ``strict``: a read that
+    passes the flag-bit filter but lacks bases, qualities, CIGAR, reference end or ``MC`` fails the job;
+    otherwise it doesn't support the allele.
     """
     config = config or K.default()
     registry = registry or builtin(dup_mode, strict)
