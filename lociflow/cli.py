@@ -88,8 +88,7 @@ def flag(spark: SparkSession, args: argparse.Namespace) -> None:
         if path.lower().endswith(".sam"):
             tags[path] = alignments.sample_of([r[0] for r in spark.read.text(path).filter(F.col("value").startswith("@RG")).limit(1).collect()])
         elif path.lower().endswith(".bam"):
-            files = spark.read.format("binaryFile").load(path).select("content")
-            tags[path] = alignments.sample_of(files.mapInArrow(alignments._header_lines, "line string").collect()[0][0].split("\n"))
+            tags[path] = alignments.sample_of(alignments.bam_header(spark, path))
         else:
             tags[path] = spark.read.parquet(path).select("sample").first()[0]
     mapping = K.json_or_file(args.name_mapping) if args.name_mapping else None

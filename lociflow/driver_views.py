@@ -190,9 +190,9 @@ _OVERLAP_SQL = f"""WITH r AS ({_reads_sql('l_suppkey')}), o AS (SELECT *,
 
 
 def _duplicates(spark, sf_dir, documented: bool):
-    rows = reads_view(spark, sf_dir).drop(M.column(M.DUPLICATE))
+    rows = reads_view(spark, sf_dir).select(*KEYS, "read_ord", "ends", "mean_qual", "mark_supports_var", "mark_low_qual")
     ok = F.col("mark_supports_var") & ~F.col("mark_low_qual")
-    out = M.mark_duplicates(rows, ok, KEYS, 6, documented)
+    out = M.mark_duplicates(rows, ok, KEYS, 6, documented, partitioned=True)  # read_ord's window has dealt them
     return out.select("variant_id", "read_ord", F.col(M.column(M.DUPLICATE)).alias("marked"))
 
 

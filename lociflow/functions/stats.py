@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,17 +40,12 @@ def mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(values)
 
 
-def _text3(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if pd.isna(v) else str(round(float(v), 3)))
-
-
-_text3.__annotations__ = {"x": pd.Series, "return": pd.Series}
-
-
 def text3(value: Column) -> Column:
     """The shortest text of a number correctly rounded to three places (``0.667``, ``1.0``).
 
-    SQL rounding works on the decimal text and differs at ties in binary, hence Python here, on one
-    value per allele and flag, after aggregation.
+    ``format_number`` rounds the binary value itself, ties to even; ``round`` and ``bround`` round its
+    decimal text and differ there. Below 0.001 it doesn't (0.0005 is above the tie), so that is settled here.
     """
-    return F.pandas_udf(_text3, "string")(value)
+    tiny = F.concat(F.when(value < 0, "-").otherwise(""), F.when(F.abs(value) >= 0.0005, "0.001").otherwise("0.0"))
+    fixed = F.regexp_replace(F.format_number(value.cast("double"), 3), ",", "")
+    return F.when(F.abs(value) < 0.001, tiny).when(value.isNotNull(), F.regexp_replace(fixed, r"(\.\d)(\d*?)0+$", "$1$2"))

@@ -101,7 +101,11 @@ def load(path: str) -> dict[str, Any]:
 def json_or_file(value: str) -> Any:
     """JSON from the file of that name if there is one, else from the text itself."""
     try:
-        return json.loads(Path(value).read_text() if Path(value).is_file() else value)
+        is_file = Path(value).is_file()
+    except OSError:  # too long for a name
+        is_file = False
+    try:
+        return json.loads(Path(value).read_text() if is_file else value)
     except ValueError as e:
         raise ConfigError(f"neither a JSON file nor JSON: {value}") from e
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import os
 import re
-import struct
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
+from . import bam
 
-COLUMNS = ["sample", "read_ord", "qname", "flag", "chrom", "ref_start", "ref_end", "mapq", "cigar", "next_ref_start", "seq", "quals", "mc", "as_score", "as_type"]
-_OPS = "MIDNSHP=X"
-_BASES = "=ACMGRSVTWYHKDBN"
+COLUMNS = ["sample", "read_ord", "qname", "flag", "chrom", "ref_start", "ref_end", "mapq", "cigar", "next_ref_start", "seq", "quals", "mc", "as_score", "as_type", "mc_type"]
 
 
 def sample_of(head: list[str]) -> str:
@@ -42,9 +41,11 @@ def read_sam(spark: SparkSession, path: str, sample: str | None = None, order: i
     """A SAM text file. ``sample``: its name, the first read group's unless given."""
     if sample is None:
         sample = sample_of([r[0] for r in spark.read.text(path).filter(F.col("value").startswith("@RG")).limit(1).collect()])
-    lines = spark.read.text(path).filter((F.col("value") != "") & ~F.col("value").rlike("^@[A-Z][A-Z]\t"))
+    is_read = (F.col("value") != "") & ~F.col("value").rlike("^@[A-Z][A-Z]\t")
+    lines = spark.read.text(path).filter(is_read)
     f = F.col("f")
-    rows = lines.select(F.monotonically_increasing_id().alias("read_ord"), F.split("value", "\t", -1).alias("f"))
+    # Spark may test a field before that filter: a header line has no fields
+    rows = lines.select(F.monotonically_increasing_id().alias("read_ord"), F.split(F.when(is_read, F.col("value")), "\t", -1).alias("f"))
     rows = rows.withColumn("mc_tag", _tag(f, "MC")).withColumn("as_tag", _tag(f, "AS"))
     star = lambda c: F.when(c != "*", c)
     as_type = F.substring("as_tag", 4, 1)
@@ -60,120 +61,52 @@ def read_sam(spark: SparkSession, path: str, sample: str | None = None, order: i
         (F.get(f, 7).cast("long") - 1).alias("next_ref_start"),
         star(F.get(f, 9)).alias("seq"),
         F.when(F.get(f, 10) != "*", F.transform(F.split(F.get(f, 10), ""), lambda x: F.ascii(x) - 33)).alias("quals"),
-        F.when(F.substring(mc, 4, 1) == "Z", F.substring(mc, 6, 1 << 30)).when(mc.isNotNull(), F.raise_error(F.lit("MC tag is not of type Z")).cast("string")).alias("mc"),
+        F.when(F.substring(mc, 4, 1) == "Z", F.substring(mc, 6, 1 << 30)).alias("mc"),
+        F.substring(mc, 4, 1).alias("mc_type"),
         F.when(as_type.isin("i", "C"), F.substring("as_tag", 6, 20).cast("int")).when(F.col("as_tag").isNotNull(), F.lit(0)).alias("as_score"),
         as_type.alias("as_type"),
     )
     return _finish(rows, sample, order)
 
 
-def _inflate(content: bytes) -> bytes:
-    """All members of a BGZF file."""
-    out = []
-    while content:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(content) + d.flush())
-        content = d.unused_data
-    return b"".join(out)
-
-
-def bam_header(data: bytes) -> tuple[str, list[str], int]:
-    """(header text, reference names, offset of the first record) of inflated BAM bytes."""
-    if data[:4] != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    (n,) = struct.unpack_from("<i", data, 4)
-    text = data[8 : 8 + n].rstrip(b"\0").decode()
-    at = 8 + n
-    (n_ref,) = struct.unpack_from("<i", data, at)
-    at += 4
-    names = []
-    for _ in range(n_ref):
-        (k,) = struct.unpack_from("<i", data, at)
-        names.append(data[at + 4 : at + 4 + k - 1].decode())
-        at += 8 + k
-    return text, names, at
-
-
-_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-_CODES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I"}
-
-
-def _tags(data: bytes, at: int, end: int) -> dict[str, tuple[str, object]]:
-    out: dict[str, tuple[str, object]] = {}
-    while at < end:
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            stop = data.index(0, at)
-            out[name] = (kind, data[at:stop].decode())
-            at = stop + 1
-        elif kind == "B":
-            (n,) = struct.unpack_from("<i", data, at + 1)
-            at += 5 + n * _SIZES[chr(data[at])]
-        else:
-            out[name] = (kind, struct.unpack_from("<" + _CODES[kind], data, at)[0] if kind in _CODES else None)
-            at += _SIZES[kind]
-    return out
-
-
-def bam_records(data: bytes) -> Iterator[tuple]:
-    """Tuples in the order of ``COLUMNS`` without sample, read_ord and ref_end."""
-    _, names, at = bam_header(data)
-    while at < len(data):
-        size, ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, _, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
-        end = at + 4 + size
-        p = at + 36
-        qname = data[p : p + l_name - 1].decode()
-        p += l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", data, p)
-        cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or None
-        p += 4 * n_cigar
-        packed = data[p : p + (l_seq + 1) // 2]
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq] or None
-        p += (l_seq + 1) // 2
-        quals = list(data[p : p + l_seq])
-        p += l_seq
-        tags = _tags(data, p, end)
-        mc = tags.get("MC")
-        if mc and mc[0] != "Z":
-            raise ValueError("MC tag is not of type Z")
-        score = tags.get("AS", (None, None))
-        yield (qname if qname != "*" else None, flag, names[ref] if ref >= 0 else None, pos, mapq, cigar, next_pos, seq, quals if quals and quals[0] != 255 else None, mc[1] if mc else None, score[1], score[0])
-        at = end
-
-
-_BAM = pa.schema([("read_ord", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("ref_start", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("next_ref_start", pa.int64()), ("seq", pa.string()), ("quals", pa.list_(pa.int32())), ("mc", pa.string()), ("as_score", pa.int32()), ("as_type", pa.string())])
-_BAM_DDL = "read_ord long, qname string, flag int, chrom string, ref_start long, mapq int, cigar string, next_ref_start long, seq string, quals array<int>, mc string, as_score int, as_type string"
-
-
-def _decode_bam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local(path: str) -> str | None:
+    """The path that ``open`` takes, if the file is there."""
+    name = path.removeprefix("file://")
+    return name if os.path.isfile(name) else None
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content").to_pylist():
-            rows, n = [], 0
-            for r in bam_records(_inflate(content)):
-                rows.append((n, *r))
-                n += 1
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _BAM, strict=True)], schema=_BAM)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _BAM, strict=True)], schema=_BAM)
+            yield from bam.records(io.BytesIO(content))
+
 
+def _header_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([bam.header(io.BytesIO(c))[0] for c in batch.column(0).to_pylist()], pa.string())], ["text"])
 
-def read_bam(spark: SparkSession, path: str, sample: str | None = None, order: int = 0) -> DataFrame:
-    """A BAM file, one task for each file (2 GB at most: larger ones are stored by region).
 
-    Read it once and keep the result as Parquet: that scan prunes by chrom and reads columns.
-    """
+def bam_header(spark: SparkSession, path: str) -> list[str]:
+    """Header lines of a BAM file; only its first blocks are inflated."""
+    if (name := _local(path)) is not None:
+        with open(name, "rb") as f:
+            return bam.header(f)[0].split("\n")
     files = spark.read.format("binaryFile").load(path).select("content")
-    if sample is None:
-        sample = sample_of(files.mapInArrow(_header_lines, "line string").collect()[0][0].split("\n"))
-    return _finish(files.mapInArrow(_decode_bam, _BAM_DDL), sample, order)
+    return files.mapInArrow(_header_text, "text string").first()[0].split("\n")
 
 
-def _header_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([bam_header(_inflate(c))[0] for c in batch.column(0).to_pylist()], pa.string())], ["line"])
+def read_bam(spark: SparkSession, path: str, sample: str | None = None, order: int = 0, split_bytes: int = bam.SPLIT_BYTES) -> DataFrame:
+    """A BAM file. One that can be opened by its path is read in the ranges of its index (:mod:`.bam`).
+
+    One that only Spark can read is one task and 2 GB at most. Either way, keep what is read often as
+    Parquet: that scan prunes by chrom and reads columns.
+    """
+    if sample is None:
+        sample = sample_of(bam_header(spark, path))
+    if (name := _local(path)) is not None:
+        return _finish(bam.scan(spark, name, split_bytes), sample, order)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return _finish(files.mapInArrow(_decode, bam.DDL), sample, order)
 
 
 def read_alignment(spark: SparkSession, path: str, sample: str | None = None, order: int = 0) -> DataFrame:

@@ -66,6 +66,7 @@ def test_alignment_score(spark, scores, want):
     assert got.info == f"A|{want[0]}|0x{want[1]:x}|{len(scores)}|{want[2]}"
 
 
+# Fixed value: the bases of the sample read, ten to a repeat.
 TEN = "CTGDAAAACC"
 
 

@@ -99,3 +99,83 @@ def test_stream(spark, tmp_path):
     reads = spark.createDataFrame([read(0, seq=seq_with(50))], schema.READS)
     flag_stream(stream, reads, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 4
+
+
+def bgzf(raw, size=700):
+    """Blocks as a BAM file has them, and each block's place in the file by its first inflated byte."""
+    import zlib
+
+    out, places = b"", {}
+    for at in [*range(0, len(raw), size), len(raw)]:
+        part = raw[at : at + size]
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        places[at] = len(out)
+        out += struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out, places
+
+
+def test_bam_in_ranges(spark, tmp_path):
+    text = "\n".join(["@SQ\tSN:1\tLN:100000", "@RG\tID:x\tSM:T", *[sam_line(i, 100 + i, 50) for i in range(400)]]) + "\n"
+    (tmp_path / "t.sam").write_text(text)
+    raw = gzip.decompress(to_bam(text))
+    out, places = bgzf(raw)
+    (tmp_path / "t.bam").write_bytes(out)
+    one = A.read_bam(spark, str(tmp_path / "t.bam"))
+    assert one.rdd.getNumPartitions() == 1
+    # an index with the place of every 50th record
+    (n,) = struct.unpack_from("<i", raw, 4)
+    at, found = 8 + n + 4 + 4 + 2 + 4, []
+    while at < len(raw):
+        found.append((places[at // 700 * 700] << 16) + at % 700)
+        at += 4 + struct.unpack_from("<i", raw, at)[0]
+    chunks = [(a, a + 1) for a in found[::50]]
+    index = b"BAI\x01" + struct.pack("<ii", 1, 2) + struct.pack("<Ii", 4681, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks) + struct.pack("<IiQQQQ", 37450, 2, 1, 2, 3, 4) + struct.pack("<iQQ", 2, 0, found[75])
+    (tmp_path / "t.bam.bai").write_bytes(index)
+    many = A.read_bam(spark, str(tmp_path / "t.bam"), split_bytes=2000)
+    assert many.rdd.getNumPartitions() > 4
+    assert [r.read_ord for r in one.orderBy("read_ord").collect()] == found == [r.read_ord for r in many.orderBy("read_ord").collect()]
+    sam = A.read_sam(spark, str(tmp_path / "t.sam")).drop("read_ord").orderBy("qname").collect()
+    assert many.drop("read_ord").orderBy("qname").collect() == sam and len(sam) == 400
+    (tmp_path / "cut.bam").write_bytes(out[: len(out) // 2])
+    with pytest.raises(Exception, match="the file ends inside"):
+        A.read_bam(spark, str(tmp_path / "cut.bam")).collect()
+
+
+def test_override_of_lists_and_texts(caplog):
+    from lociflow.plans import config as K
+
+    with pytest.raises(K.ConfigError):
+        K.override(K.default(), "exec.ADF.exclude-marks", "[]")
+    changed = K.override(K.default(), "params.ALF.avg_AS_threshold", "not json")
+    assert changed["params"]["ALF"]["avg_AS_threshold"] == "not json" and "not json" in caplog.text
+
+
+def test_faulty_reads_and_results(spark):
+    from pyspark.sql import functions as F
+
+    from lociflow import schema
+    from lociflow.operators import flags as FL
+    from lociflow.plans import engine
+    from tests.test_engine import read, seq_with, variant
+
+    def flags(rows, **kw):
+        return engine.flag(spark.createDataFrame([variant(150)], schema.VARIANTS), spark.createDataFrame(rows, schema.READS), **kw).collect()
+
+    good = read(0, seq=seq_with(50))
+    lacking = read(1, seq=seq_with(50), mc=None)
+    with pytest.raises(Exception, match="essential field"):
+        flags([good, lacking])
+    assert {r.reads_seen for r in flags([good, lacking], strict=False)} == {1}
+    assert len(flags([good, read(1, seq=seq_with(50), mc=None, flag=0x443)])) == 4  # such flags are refused before
+    with pytest.raises(Exception, match="a read is there twice"):
+        flags([good, good])
+    with pytest.raises(Exception, match="AS tag of type"):
+        flags([good[:-2] + (5, "f")])
+    odd = spark.createDataFrame([good], schema.READS).withColumn("mc_type", F.lit("i"))
+    with pytest.raises(Exception, match="MC tag of type"):
+        engine.flag(spark.createDataFrame([variant(150)], schema.VARIANTS), odd).collect()
+    test = FL.proportion(())
+    for bits in (0, 8):
+        with pytest.raises(Exception, match="reason bits"):
+            spark.range(1).select(FL.checked_bits("X", test, F.lit(bits) + F.col("id").cast("int"))).collect()
