@@ -10,31 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import langid, mixing, neardup, pieces, quality
-from lociflow.llm.common import stored, table
+from lociflow.llm.common import drop_since, drop_stored, marker, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the n-gram ratio stay."""
+    """Documents that pass the base rules and the n-gram ratio stay. Null, empty and short texts go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no language that could be learned, go."""
+    """Documents without letters (null and empty texts among them), or in no language that could be learned, go."""
     return langid.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 or more) stays."""
+    """One document of each group of near copies (similarity 0.8 or more) stays; those without words all do."""
     return neardup.keep_one(docs, 0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that the sources' words meet their targets."""
+    """Documents repeated or left out so that the sources' words meet their targets. A null source is one
+    source; rows without words come once."""
     return mixing.mix(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of every document, with the proof that they decode to its text."""
+    """Sampled piece ids of every document, with the proof that they decode to its text. Null and empty
+    texts have none."""
     coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), proof=True)
     return coded.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
 
@@ -52,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage left in the shared folder goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        mark = marker(spark)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_since(spark, mark, docs)
+        if name != STAGES[0][0]:
+            drop_stored(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch as shared
+
 #: One word, as the contracts define it for white-space separated text.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
+#: Paths made by each application and not deleted yet.
+_made: dict[str, list[str]] = {}
 
-    Only where the session names none (local tests) is one chosen here.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lociflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path that all executors share (:func:`lociflow.scratch.path`)."""
+    path = shared.path(spark, tag)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -32,13 +30,40 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    known = _made.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        known.remove(path)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored`, once nothing reads it any more."""
     files = df.inputFiles()
     if files:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folder = files[0].rpartition("/")[0]
+        name = folder.rpartition("/")[2]
+        known = next((p for p in _made.get(df.sparkSession.sparkContext.applicationId, []) if p.rpartition("/")[2] == name), folder)
+        _delete(df.sparkSession, known)
+
+
+def marker(spark: SparkSession) -> int:
+    """For :func:`drop_since`: what has been stored so far."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
+    """Delete the tables stored since ``mark``, other than ``but``. What still reads them must be done."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for df in but for f in df.inputFiles()[:1]}
+    for path in _made.get(spark.sparkContext.applicationId, [])[mark:]:
+        if path.rpartition("/")[2] not in kept:
+            _delete(spark, path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete all tables that the operators left for results not yet computed. Call it once those are written."""
+    drop_since(spark, 0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
