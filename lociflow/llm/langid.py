@@ -13,18 +13,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, stored
+from .common import col, drop_stored, fresh, stored
 
 N = 4
-#: log2 of the filter's slots.
-SLOT_BITS = 21
+#: log2 of the filter's slots: as many as make four for each gram of the language that has most, in these
+#: bounds. More grams fill the filter further; the correction for false positives covers that.
+MIN_SLOT_BITS, MAX_SLOT_BITS, ROOM = 16, 24, 4
 #: About so many labelled documents of each language are learned from (chosen by hash of the id).
 MAX_TRAIN = 4000
-#: Grams kept for each language (the most frequent), least count, least share of the gram's best share.
-MAX_GRAMS, MIN_COUNT, MIN_RATIO = 100_000, 3, 0.5
 SEED = 11
 #: Part of a text's grams that the best language must know for the pipeline to keep the text.
 MIN_COVERAGE = 0.2
@@ -66,24 +65,38 @@ def grams(text: str) -> Iterator[np.ndarray]:
         tail = c[-(N - 1) :].astype(np.uint32)
 
 
-def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m = np.uint64((1 << SLOT_BITS) - 1)
+def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    m = np.uint64((1 << bits) - 1)
     return (h & m).astype(np.int64), ((h >> np.uint64(32)) & m).astype(np.int64)
 
 
 @dataclass
 class Filters:
-    """``table[w, slot]``: bits of languages ``8 w`` to ``8 w + 7``; ``langs[0]`` is the most frequent."""
+    """``table[w, slot]``: bits of languages ``8 w`` to ``8 w + 7``; ``langs[0]`` is the most frequent.
+
+    The AND of a gram's two slots has the bit of every language that has the gram in its sample, and by
+    chance (``false_rate``) of others.
+    """
 
     langs: list[str]
     table: np.ndarray
     false_rate: np.ndarray
 
+    @property
+    def slot_bits(self) -> int:
+        return self.table.shape[1].bit_length() - 1
+
+    def languages_of(self, h: np.ndarray) -> np.ndarray:
+        """(gram, language): whether the filter has the gram for the language."""
+        a, b = _slots(h, self.slot_bits)
+        return np.unpackbits((self.table[:, a] & self.table[:, b]).T, axis=1, bitorder="little")[:, : len(self.langs)].astype(bool)
+
     def hits(self, text: str) -> tuple[int, np.ndarray]:
+        """Grams of the text, and how many of them the filter has for each language (popcounts by bit)."""
         n, out = 0, np.zeros(8 * len(self.table))
         for h in grams(text):
             n += len(h)
-            a, b = _slots(h)
+            a, b = _slots(h, self.slot_bits)
             for w, words in enumerate(self.table):
                 out[8 * w : 8 * w + 8] += np.bincount(words[a] & words[b], minlength=256) @ _BITS
         return n, out[: len(self.langs)]
@@ -111,43 +124,44 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, []).extend(grams(text))
-        for lang, found in by.items():
-            g, n = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+        by: dict[int, list[np.ndarray]] = {}
+        for bit, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by.setdefault(bit, []).extend(grams(text))
+        for bit, found in by.items():
+            g = np.unique(np.concatenate(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), bit, np.int32)), pa.array(g)], ["bit", "gram"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from labelled documents that are not held out; a bounded sample for each language.
 
-    Every label is learned. Grams are counted and chosen on the executors; at most ``MAX_GRAMS`` of one
-    language at a time come to the driver.
+    Every label is learned, and every gram of its sample. Null texts, labels and ids are not learned from;
+    without labelled documents there are no languages. The table is put together on the executors: the
+    driver gets one row for each filled slot and eight languages.
     """
     lang = col(lang_col)
-    usable = docs.filter(lang.isNotNull() & ~is_held_out(col(id_col)))
-    sizes = [(r[0], r[1]) for r in usable.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").collect()]
+    usable = docs.filter(lang.isNotNull() & col(text_col).isNotNull() & ~is_held_out(col(id_col)))
+    sizes = [(r[0], r[1]) for r in usable.groupBy(lang.cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").collect()]  # one row per label
     langs = [k for k, _ in sizes]
-    table = np.zeros((-(-max(len(langs), 1) // 8), 1 << SLOT_BITS), np.uint8)
-    if langs:
-        draw = F.pmod(F.xxhash64(F.lit(SEED), col(id_col)), F.lit(1 << 30))
-        parts = docs.sparkSession.createDataFrame([(bit, k, min(1 << 30, (MAX_TRAIN << 30) // n)) for bit, (k, n) in enumerate(sizes)], "bit int, known string, below long")
-        labelled = usable.filter(col(text_col).isNotNull()).select(lang.cast("string").alias("lang"), col(text_col).alias("text"), draw.alias("draw"))
-        sample = labelled.join(F.broadcast(parts), (F.col("lang") == F.col("known")) & (F.col("draw") < F.col("below"))).select("lang", "text")
-        counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        # a language's rows in these windows are the bounded sample's grams, a gram's are languages
-        order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-        top = counts.filter(F.col("n") >= MIN_COUNT).withColumn("place", order).filter(F.col("place") <= MAX_GRAMS)
-        share = top.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-        peak = F.max("share").over(Window.partitionBy("gram"))
-        kept = share.withColumn("peak", peak).filter(F.col("share") >= MIN_RATIO * F.col("peak"))
-        kept = stored(kept.join(F.broadcast(parts), F.col("lang") == F.col("known")).select("bit", "gram"), "grams")
-        for bit in range(len(langs)):
-            for s in _slots(kept.filter(F.col("bit") == bit).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)):
-                np.bitwise_or.at(table[bit // 8], s, np.uint8(1 << (bit % 8)))
+    if not langs:
+        return Filters([], np.zeros((1, 1 << MIN_SLOT_BITS), np.uint8), np.zeros(0))
+    draw = F.pmod(F.xxhash64(F.lit(SEED), col(id_col)), F.lit(1 << 30))
+    parts = docs.sparkSession.createDataFrame([(bit, k, min(1 << 30, (MAX_TRAIN << 30) // n)) for bit, (k, n) in enumerate(sizes)], "bit int, known string, below long")
+    labelled = usable.select(lang.cast("string").alias("lang"), col(text_col).cast("string").alias("text"), draw.alias("draw"))
+    sample = labelled.join(F.broadcast(parts), (F.col("lang") == F.col("known")) & (F.col("draw") < F.col("below"))).select("bit", "text")
+    found = stored(sample.mapInArrow(_distinct_grams, "bit int, gram long").distinct(), "grams")
+    most = max((r[1] for r in found.groupBy("bit").count().collect()), default=0)
+    bits = min(max((ROOM * most - 1).bit_length(), MIN_SLOT_BITS), MAX_SLOT_BITS) if most else MIN_SLOT_BITS
+    mask = F.lit((1 << bits) - 1)
+    slots = F.array(F.col("gram").bitwiseAND(mask), F.shiftrightunsigned("gram", 32).bitwiseAND(mask))
+    one = F.expr("shiftleft(1, bit % 8)")
+    cells = found.select((F.col("bit") / 8).cast("int").alias("word"), F.explode(slots).alias("slot"), one.alias("one"))
+    cells = cells.groupBy("word", "slot").agg(F.bit_or("one").cast("int").alias("bits")).toArrow()
+    table = np.zeros((-(-len(langs) // 8), 1 << bits), np.uint8)
+    table[cells.column("word").to_numpy(), cells.column("slot").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint8)
+    drop_stored(found)
     fill = np.array([np.mean((table[i // 8] >> (i % 8)) & 1) for i in range(len(langs))])
     return Filters(langs, table, fill**2)
 
@@ -169,7 +183,7 @@ def identify(docs: DataFrame, model: Filters, text_col: str = "text") -> DataFra
     Only the text is read; equal texts get equal values.
     """
     out = fresh(docs, "language")[0]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB for each eight languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**MAX_SLOT_BITS bytes for each eight languages
 
     predict = F.pandas_udf(_predictor(shared), "pred string, score double, coverage double")
     return docs.withColumn(out, predict(col(text_col)))
