@@ -1,15 +1,17 @@
 """Licence scans: Aho-Corasick over words, and a shunting-yard parser for licence expressions.
 
 Texts are lower-cased (A-Z only) and reduced to words joined by single spaces; one automaton finds
-all phrases and identifier tags in a single pass. Behind an identifier tag the raw text holds an
-expression (``MIT OR (GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause)``), which is
-turned to postfix form and evaluated.
+all phrases and identifier tags in a single pass. Expressions come from two places and are turned to
+postfix form and evaluated alike. Behind an identifier tag the raw text holds one
+(``MIT OR (GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause)``). And the phrases found are
+operands themselves: what stands between neighbours, if it is nothing but operators, parentheses and
+words without weight (``under the MIT license or (the ISC license and CC0)``), joins them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -48,26 +50,37 @@ NOTICES = {
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.9, 1.0
 TAG = "spdx license identifier"
-#: An expression ends at the line's end or the next tag.
+#: Words between two notices that join them no less for being there.
+FILLERS = frozenset("a an any both either it its of terms that the these this under version later 0 1 2 3 license licenses licence licences".split())
+#: Labels of notices that allow reuse without conditions on the whole.
+PERMISSIVE = ("mit", "apache-2", "bsd", "isc", "bsl-1", "unlicense", "public-domain", "cc0", "cc-by")
 _TAG_AT = re.compile(r"spdx[^0-9a-z]+license[^0-9a-z]+identifier\s*:?[ \t]*", re.I | re.A)
-_LINE_END = re.compile(r"[\r\n]|\Z")
-
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
+_TOKEN = re.compile(r"[()\r\n]|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
+_JOINT = re.compile("[()]|[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """Postfix tokens of a licence expression by the shunting-yard algorithm; None if malformed.
+def to_postfix(expression: str, at: int = 0, end: int | None = None) -> list[str] | None:
+    """Postfix tokens of the licence expression at ``at``; None if malformed.
 
-    ``with`` binds closest, then ``and``, then ``or``; all are left-associative. The longest
-    well-formed prefix is read: prose after the expression ends it.
+    Prose after the expression ends it, as does the line's end outside parentheses.
     """
+    found = _TOKEN.finditer(expression, at, len(expression) if end is None else end)
+    return shunt(m.group() for m in found)
+
+
+def shunt(tokens: Iterable[str]) -> list[str] | None:
+    """The shunting-yard algorithm: ``with`` binds closest, then ``and``, then ``or``; all are
+    left-associative. No more tokens are taken than the expression has."""
     out: list[str] = []
     ops: list[str] = []
     operand_next = True
-    for m in _TOKEN.finditer(expression):
-        token = m.group()
+    for token in tokens:
         low = token.lower()
+        if token in "\r\n":
+            if "(" not in ops:
+                break
+            continue
         if operand_next:
             if token == "(":
                 ops.append(token)
@@ -125,46 +138,109 @@ def automaton():
         found.setdefault(phrase, []).append((False, label, weight))
     found.setdefault(TAG, []).append((False, None, TAG_WEIGHT))
     for phrase, what in found.items():
-        auto.add_word(f" {phrase} ", (len(phrase) + 2, what))
+        auto.add_word(f" {phrase} ", (len(phrase) + 2, phrase.count(" ") + 1, what))
     auto.make_automaton()
     return auto
 
 
+def _joined(low: str, hits: list[tuple[int, int, str]]) -> list[list[str]]:
+    """Expressions, as lists of tokens, over the hits (first word, words, label) of the text ``low``."""
+    hits = sorted(hits, key=lambda h: (h[0], -h[1]))
+    apart, free = [], 0
+    for first, n, label in hits:  # the leftmost and longest of hits that overlap
+        if first >= free:
+            apart.append((first, n, label))
+            free = first + n
+    if len(apart) < 2:
+        return [[label] for *_, label in apart]
+    spans = [m.span() for m in _WORD.finditer(low)]
+    out = [[apart[0][2]]]
+    opened = _opened(low[max(0, spans[apart[0][0]][0] - 8) : spans[apart[0][0]][0]])
+    out[0] = ["("] * opened + out[0]
+    for (first, n, _), (then, _, label) in zip(apart, apart[1:], strict=False):
+        gap = [x for x in _JOINT.findall(low, spans[first + n - 1][1], spans[then][0]) if x not in FILLERS]
+        words = [x for x in gap if x not in "()"]
+        if len(words) == 1 and words[0] in _PRECEDENCE:
+            out[-1] += [*gap, label]
+        else:
+            out.append([*["("] * _opened("".join(x for x in gap if x in "()")), label])
+    return out
+
+
+def _opened(text: str) -> int:
+    """Parentheses at the end of ``text`` that are still open."""
+    return len(text) - len(text.rstrip().rstrip("(")) - (len(text) - len(text.rstrip()))
+
+
+def _balanced(tokens: list[str]) -> list[str]:
+    """Without closing parentheses that nothing opens and opening ones that nothing closes."""
+    keep, open_at = [True] * len(tokens), []
+    for i, t in enumerate(tokens):
+        if t == "(":
+            open_at.append(i)
+        elif t == ")":
+            if open_at:
+                open_at.pop()
+            else:
+                keep[i] = False
+    for i in open_at:
+        keep[i] = False
+    return [t for t, k in zip(tokens, keep, strict=True) if k]
+
+
 def scan_text(auto, text: str | None) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive)."""
     low = (text or "").encode().lower().decode()  # bytes.lower() changes A-Z only
     words = _WORD.findall(low)
     line = f" {' '.join(words)} "
+    hits: list[tuple[int, int, str]] = []  # (place in the line, words, label)
     starts: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
     miss, tagged = 1.0, False
-    for end, (length, what) in auto.iter(line):
+    for end, (length, n, what) in auto.iter(line):
         at = end - length + 1
         for is_base, label, weight in what:
+            if label is None:
+                tagged = True
+                continue
+            hits.append((at, n, label))
             if is_base:
                 starts.append(at)
                 base.add(label)
-            if label is None:
-                tagged = True
-            elif label not in labels:
+            if label not in labels:
                 labels.add(label)
                 miss *= 1.0 - weight
+    # the word that begins behind the space at a place is as many as there are spaces before
+    number, seen, last_at = {}, 0, 0
+    for at, *_ in sorted(hits):
+        seen += line.count(" ", last_at, at)
+        last_at = at
+        number[at] = seen
     expressions: list[str] = []
     permissive = None
+
+    def add(postfix: list[str], ok: bool) -> None:
+        nonlocal permissive
+        expressions.append(" ".join(postfix))
+        permissive = ok if permissive is None else permissive and ok
+
+    for tokens in _joined(low, [(number[at], n, label) for at, n, label in hits]):
+        postfix = shunt(_balanced(tokens))
+        if postfix is not None:
+            add(postfix, evaluate(postfix, PERMISSIVE)[1])
     if tagged:
         tags = [m.span() for m in _TAG_AT.finditer(text or "")]
         for (_, at), (following, _) in zip(tags, [*tags[1:], (len(text or ""), 0)], strict=True):
-            postfix = to_postfix(text[at : _LINE_END.search(text, at, following).start()])
+            postfix = to_postfix(text, at, following)
             if postfix is None:
                 continue
             ids, ok = evaluate(postfix)
             labels |= {f"spdx:{x}" for x in ids}
-            expressions.append(" ".join(postfix))
-            permissive = ok if permissive is None else permissive and ok
             miss *= 1.0 - TAG_WEIGHT
-    first = line.count(" ", 0, min(starts) + 1) - 1 if starts else None
-    last = line.count(" ", 0, max(starts) + 1) - 1 if starts else None
+            add(postfix, ok)
+    first = number[min(starts)] if starts else None
+    last = number[max(starts)] if starts else None
     return (len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - miss, expressions, permissive)
 
 
