@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, drop_stored, fresh, stored
+from .common import col, drop_since, drop_stored, fresh, marker, stored
 
 SHINGLE, K, CHUNKS = 5, 64, 16
 #: Standard deviations between the mean distance at the similarity threshold and ``max_diff``.
 MARGIN = 3.9
+#: Pairs of one node that are confirmed together, about.
+PAIRS = 256
 #: Members of one tile side, about; nodes whose ids are broadcast at most (8 bytes each).
 TILE, MAX_BROADCAST_IDS = 256, 1_000_000
 _CHUNK_WORDS = 1 << 16
@@ -319,6 +321,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, threshold: float):
         self.docs, self.plan, self.percent = docs, Plan(threshold), round(100 * threshold)
+        self.mark = marker(docs.sparkSession)
         kind = docs.schema["id"].dataType.simpleString()
         rows = docs.select("id", F.xxhash64("text").alias("text_hash"), "text")
         self.rows = stored(rows.mapInArrow(_sign, f"id {kind}, text_hash long, node long, n long, sig binary"), "near-rows")
@@ -349,8 +352,6 @@ class NearDuplicates:
         small = self.texts_of(stored(wanted, "near-wanted")).mapInArrow(_small_sets, "node long, small binary")
         second = _by_tile(pending.join(small, "node")).mapInArrow(_tiles(self.plan, _likely(self.percent)), "a long, b long").distinct()
         more = stored(self.confirm(second), "near-links")
-        drop_stored(buckets)
-        drop_stored(pending)
         return found.union(more)
 
     def close(self, pairs: DataFrame) -> DataFrame:
@@ -359,11 +360,21 @@ class NearDuplicates:
         return both.filter(_distance(self.plan.max_diff)("sa", "sb")).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole shingle sets are similar enough. Only texts of their nodes are moved."""
+        """Pairs whose whole shingle sets are similar enough. Only texts of their nodes are moved.
+
+        A node with many pairs (the original of a large group) is split: its pairs are dealt to runs of
+        about ``PAIRS``, and each run gets the text of its own.
+        """
         pairs = stored(pairs, "near-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "id"), "node")
-        texts = self.texts_of(stored(wanted, "near-wanted"))
-        both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("runs")).join(self.nodes.select("node", "id"), "node")
+        wanted = stored(wanted, "near-wanted")
+        texts = self.texts_of(wanted)
+        copies = texts.join(wanted.select("node", "runs"), "node").select("node", "text", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"))
+        many = wanted.filter("runs > 1").select("node", "runs")  # a few: each stands for PAIRS pairs
+        split = pairs
+        for side, other in (("a", "b"), ("b", "a")):
+            split = split.join(many.toDF(side, f"runs_{side}"), side, "left").withColumn(f"run_{side}", F.pmod(F.xxhash64(other), F.coalesce(f"runs_{side}", F.lit(1))).cast("int")).drop(f"runs_{side}")
+        both = split.join(copies.toDF("b", "text_b", "run_b"), ["b", "run_b"]).join(copies.toDF("a", "text_a", "run_a"), ["a", "run_a"])
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.percent), "a long, b long")
 
     def texts_of(self, wanted: DataFrame) -> DataFrame:
@@ -384,14 +395,19 @@ class NearDuplicates:
         comp = components(self.links())
         named = self.rows.filter("n > 0").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("row"))
-        return least.select("row.id", "row.text_hash")
+        return self._last(stored(least.select("row.id", "row.text_hash"), "near-kept"))
 
     def classes(self) -> DataFrame:
         """(node, component): component is the least id in the node's component."""
         comp = components(self.links())
         named = self.nodes.select("node", "id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("id").alias("component"))
-        return named.join(least, "comp").select("node", "component")
+        return self._last(stored(named.join(least, "comp").select("node", "component"), "near-classes"))
+
+    def _last(self, result: DataFrame) -> DataFrame:
+        """``result``, once no other table of this run but the rows is needed."""
+        drop_since(self.docs.sparkSession, self.mark, result, self.rows)
+        return result
 
 
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
