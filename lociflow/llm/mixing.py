@@ -20,6 +20,8 @@ from .common import col, drop_stored, fresh, stored, word_count
 BUDGET, CAP, WEIGHTS, SEED = 1.5, 2, (5, 2, 1), 97
 #: Documents of one (source, size) class that one window partition ranks, about.
 CLASS_ROWS = 8192
+#: Classes whose plan is broadcast at most (about 60 bytes each).
+MAX_BROADCAST_CLASSES = 1_000_000
 MAX_STEPS, TOLERANCE = 60, 1e-7
 
 
@@ -33,7 +35,8 @@ def source_targets(sizes: DataFrame, budget: float = BUDGET, cap: float = CAP, w
     words, held at ``cap`` times a source's own, what is over being shared again by weight.
 
     The result is ``min(cap * size, level * weight)`` with the level at which the targets add up.
-    One row per source goes through the windows, never documents.
+    One row per source goes through the windows, never documents: a million sources are 40 MB in one
+    task. Sources without words have target 0; no sources, no rows.
     """
     order = Window.orderBy("src")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -134,7 +137,8 @@ def plan_mix(sized: DataFrame, budget: float = BUDGET, cap: int = CAP, weights=W
 
     ``sized`` is (src, size, pick) with ``pick`` a uniform hash of the row; it must be cheap to read
     again. A document of the class and part gets ``base`` copies, and one more if its ``pick`` is not
-    above ``limit``. Classes of many documents are ranked in parts, so no task gets a hot class.
+    above ``limit``. Classes of many documents are ranked in parts, so no task gets a hot class. Size 0
+    is a class like the others, with a rate of 1 unless its source is full; an empty table gives no rows.
     """
     classes = stored(sized.groupBy("src", "size").agg(F.count("*").alias("n")), "mix-classes")
     targets = source_targets(classes.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), budget, cap, weights)
@@ -158,8 +162,14 @@ def plan_mix(sized: DataFrame, budget: float = BUDGET, cap: int = CAP, weights=W
 
 
 def _apply(rows: DataFrame, plan: DataFrame, parts: str = "n_parts") -> DataFrame:
-    joined = rows.join(plan.select("src", "size", parts).distinct(), ["src", "size"]).withColumn("part", F.pmod(F.xxhash64("pick"), F.col(parts)))
-    joined = joined.drop(parts).join(plan.drop(parts), ["src", "size", "part"])
+    """``rows`` (which may carry texts) with their class's share of ``plan``, a stored table.
+
+    Up to ``MAX_BROADCAST_CLASSES`` of its rows are broadcast, so ``rows`` aren't moved; beyond that a hot
+    class is a skewed key of an inner join, which adaptive execution splits.
+    """
+    near = F.broadcast if plan.count() <= MAX_BROADCAST_CLASSES else lambda x: x
+    joined = rows.join(near(plan.select("src", "size", parts).distinct()), ["src", "size"]).withColumn("part", F.pmod(F.xxhash64("pick"), F.col(parts)))
+    joined = joined.drop(parts).join(near(plan.drop(parts)), ["src", "size", "part"])
     more = F.when(F.col("pick") <= F.col("limit"), 1).otherwise(0)
     return joined.withColumn("copies", (F.col("base") + more).cast("int"))
 
