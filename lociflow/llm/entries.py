@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, media, mixing, neardup, pages, pieces, quality, sharding, tokens
+from . import checks, langid, licenses, media, mixing, neardup, pages, pieces, quality, sharding, tokens
 
 
 def queries() -> dict:
@@ -18,8 +18,8 @@ def queries() -> dict:
         quality.op9_ngram_ratio,
         sharding.op10_external_shuffle,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | checks.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return checks.oracle_sql()
