@@ -329,18 +329,25 @@ class NearDuplicates:
         self.nodes = stored(some.groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "near-nodes")
 
     def links(self) -> DataFrame:
-        """Confirmed links (a, b) between nodes, enough of them to give the components."""
+        """Confirmed links (a, b) between nodes, enough of them to give the components.
+
+        What is known of each bucket is stored before its members join it: a join that reads both sides
+        from shuffles of its own is one that adaptive execution splits where a bucket is large.
+        """
         keys = self.nodes.select("node", "sig").mapInArrow(_index(self.plan.indexes()), "key long, node long")
         sizes = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+        sizes = stored(sizes, "near-sizes")
         buckets = stored(keys.join(sizes, "key"), "near-buckets")
         # a group's original shares more buckets with its copies than they do with each other
         shared = buckets.groupBy("node").agg(F.sum("members").alias("shared"))
         heads = buckets.join(shared, "node").groupBy("key").agg(F.max(F.struct("shared", "node")).alias("top")).select("key", F.col("top.node").alias("head"))
+        heads = stored(heads, "near-heads")
         first = stored(buckets.join(heads, "key").filter("node != head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "near-first")
         found = stored(self.confirm(self.close(first)), "near-links")
         comp = components(found)
         named = buckets.filter("members > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).filter("c1 != c2").select("key", "m")
+        mixed = stored(mixed, "near-mixed")
         rest = named.join(mixed, "key").join(self.nodes.select("node", "sig"), "node")
         n_blocks = F.ceil(F.col("m") / TILE).cast("int")
         blk = F.pmod(F.xxhash64("node", "key"), n_blocks).cast("int")
