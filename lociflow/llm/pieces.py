@@ -6,7 +6,7 @@ exact distribution, each cut with a random number that depends on the row's key
 alone. So a row gets the same pieces on any cluster, in any batch.
 
 The vocabulary's pieces never cross into a run of spaces, so the lattice falls apart at such runs. Equal
-parts share their forward sums, which a worker keeps from batch to batch up to ``CACHE_ROWS`` characters.
+parts share their forward sums, which a task keeps from batch to batch up to ``CACHE_ROWS`` characters.
 Parts of more than ``LONG_CHARS`` characters are gone through in windows, forwards and then backwards,
 so their memory doesn't grow with the lattice. A part's own length alone decides how its sums are made,
 so they never depend on what else is in a batch. A piece's weight is ``(rank + RANK_SHIFT) ** -theta``. A space
@@ -34,8 +34,8 @@ BYTE_LOG = -25.0
 #: Characters segmented together, and cells of one forward table.
 BATCH_CHARS, MAX_CELLS = 1 << 19, 1 << 19
 LINEAR_CHARS, LONG_CHARS, WINDOW = 24, 2048, 1 << 16
-#: Characters whose forward sums a worker keeps at most (96 bytes each).
-CACHE_ROWS = 2_000_000
+#: Characters whose forward sums a task keeps at most (96 bytes each).
+CACHE_ROWS = 1_000_000
 #: log2 of the slots that tell which hashes can't be pieces.
 _SIEVE_BITS = 20
 _LEAST, _LIFT = 1e-150, 1e150
@@ -94,7 +94,11 @@ class _Sums:
 
     def __init__(self, width: int):
         self.width = width
-        self.share, self.piece = np.zeros((0, width), np.float32), np.zeros((0, width), np.int16)
+        self.release()
+
+    def release(self) -> None:
+        """Gives the memory back: a worker may go on to tasks of other stages."""
+        self.share, self.piece = np.zeros((0, self.width), np.float32), np.zeros((0, self.width), np.int16)
         self.clear()
 
     def clear(self) -> None:
@@ -396,23 +400,28 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(vocab, theta)
-        for batch in batches:
-            for at in range(0, len(batch), _SLICE_ROWS):
-                rows = batch.slice(at, _SLICE_ROWS)
-                texts = [t or "" for t in rows.column(text_at).to_pylist()]
-                keys = rows.column(n).to_numpy().view(np.uint64)
-                for a, b in _groups(texts):
-                    found = [x.astype(np.int32) for x in model.segment(texts[a:b], keys[a:b])]
-                    edges = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-                    columns = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(found)))]
-                    if proof:
-                        back = [model.decode(x.tolist()) for x in found]
-                        columns += [
-                            pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
-                            pa.array([zlib.crc32(t.encode()) for t in back], pa.int64()),
-                            pa.array([t == u for t, u in zip(back, texts[a:b], strict=True)], pa.bool_()),
-                        ]
-                    yield pa.RecordBatch.from_arrays([*rows.slice(a, b - a).columns[:n], *columns], [*names, *added])
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), _SLICE_ROWS):
+                    yield from coded(model, batch.slice(at, _SLICE_ROWS))
+        finally:
+            model.sums.release()
+
+    def coded(model: Pieces, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for t in rows.column(text_at).to_pylist()]
+        keys = rows.column(n).to_numpy().view(np.uint64)
+        for a, b in _groups(texts):
+            found = [x.astype(np.int32) for x in model.segment(texts[a:b], keys[a:b])]
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            columns = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(found)))]
+            if proof:
+                back = [model.decode(x.tolist()) for x in found]
+                columns += [
+                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
+                    pa.array([zlib.crc32(t.encode()) for t in back], pa.int64()),
+                    pa.array([t == u for t, u in zip(back, texts[a:b], strict=True)], pa.bool_()),
+                ]
+            yield pa.RecordBatch.from_arrays([*rows.slice(a, b - a).columns[:n], *columns], [*names, *added])
 
     return keyed.mapInArrow(run, schema)
 
