@@ -25,8 +25,14 @@ def problem(cigar: Column) -> Column:
     )
 
 
+def _is(x: Column, kinds) -> Column:
+    """Whether a step's operation, always one letter, is among ``kinds``: one look-up where ``isin``
+    would compare text after text in folds that Spark doesn't compile."""
+    return F.lit("".join(kinds)).contains(x.op)
+
+
 def _length(s: Column, kinds) -> Column:
-    return F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.when(x.op.isin(*kinds), x.n).otherwise(0))
+    return F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.when(_is(x, kinds), x.n).otherwise(0))
 
 
 def ref_end(cigar: Column, start: Column) -> Column:
@@ -42,7 +48,7 @@ def query_length(s: Column) -> Column:
 def clip_start(s: Column) -> Column:
     """Soft-clipped bases before the first aligned one."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("past"))
-    step = lambda a, x: F.struct((a.n + F.when(~a.past & (x.op == "S"), x.n).otherwise(0)).alias("n"), (a.past | ~x.op.isin("S", "H")).alias("past"))
+    step = lambda a, x: F.struct((a.n + F.when(~a.past & (x.op == "S"), x.n).otherwise(0)).alias("n"), (a.past | ~_is(x, ("S", "H"))).alias("past"))
     return F.aggregate(s, zero, step, lambda a: a.n)
 
 
@@ -56,10 +62,10 @@ def ref_to_query(s: Column, start: Column, pos: Column) -> Column:
     zero = F.struct(F.lit(0).cast("long").alias("q"), start.cast("long").alias("r"), F.lit(None).cast("long").alias("at"))
 
     def step(a: Column, x: Column) -> Column:
-        here = x.op.isin(*MATCH) & (a.r <= pos) & (pos < a.r + x.n)
+        here = (a.r <= pos) & (pos < a.r + x.n) & _is(x, MATCH)
         return F.struct(
-            (a.q + F.when(x.op.isin(*QUERY), x.n).otherwise(0)).alias("q"),
-            (a.r + F.when(x.op.isin(*REF), x.n).otherwise(0)).alias("r"),
+            (a.q + F.when(_is(x, QUERY), x.n).otherwise(0)).alias("q"),
+            (a.r + F.when(_is(x, REF), x.n).otherwise(0)).alias("r"),
             F.when(here, a.q + pos - a.r).otherwise(a["at"]).alias("at"),
         )
 
@@ -76,8 +82,8 @@ def aligned_in(s: Column, start: Column, low: Column, high: Column, axis: str) -
         at = a.c + offset
         part = F.greatest(F.lit(0), F.least(high, at + x.n) - F.greatest(low, at))
         return F.struct(
-            (a.c + F.when(x.op.isin(*kinds), x.n).otherwise(0)).alias("c"),
-            (a["sum"] + F.when(x.op.isin(*MATCH), part).otherwise(0)).cast("long").alias("sum"),
+            (a.c + F.when(_is(x, kinds), x.n).otherwise(0)).alias("c"),
+            (a["sum"] + F.when(_is(x, MATCH), part).otherwise(0)).cast("long").alias("sum"),
         )
 
     return F.aggregate(s, zero, step, lambda a: a["sum"])
