@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"LFID", 2
+MAGIC, VERSION = b"LFID", 3
 BLOCK_IDS = 4096
 #: Ids must be below this.
 MAX_ID = (1 << 19) - 1
@@ -32,10 +32,11 @@ _TOTAL0, _BITS0 = 1 << 16, 16
 #: ``_FINE`` bits, so that each of order 0's frequencies has room in any share.
 _LEAST0, _FINE = 2048, 6
 _BITS = np.uint64(16 + _FINE)
-_TABLE1, _TABLE2 = 13, 13
+_TABLE = 13
 _STATES, _SLOTS = 32, 5
 _U = np.uint64
-_LOW16, _LOW48 = _U(0xFFFF), _U((1 << 48) - 1)
+_LOW16, _HALF = np.uint32(0xFFFF), np.uint32(16)
+_LOW32, _SHORT, _FULL = _U(0xFFFFFFFF), _U(1 << 32), _U(1 << 16 + _FINE)
 
 
 def _frequencies(counts: np.ndarray) -> np.ndarray:
@@ -45,66 +46,64 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
     return freq
 
 
+def _windows(steps: int) -> list[tuple[int, int]]:
+    """Runs of steps between which the shares are set anew."""
+    cuts = [0, *(t for t in (8, 16, 32, 64) if t < steps), *range(128, steps, 128), steps]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 class _Model:
-    """State of ``lanes`` blocks; the encoder and the decoder drive it alike.
+    """State of the blocks, one lane each; the encoder and the decoder drive it alike.
 
-    Symbols are places in the alphabet; 0 is none in a table, and the escape where something is coded.
+    Symbols are places in the alphabet; 0 is none in a table, and the escape where something is coded. Of
+    the tables' two rows the first is order 2, the second order 1; an entry is the last follower of its
+    context and, 16 bits higher, the one before.
     """
 
     def __init__(self, lanes: int, freq: np.ndarray):
-        self.freq = freq.astype(np.int64)
-        self.cum = np.concatenate([[0], np.cumsum(self.freq)])
+        after = np.cumsum(freq).astype(np.uint64)
+        self.first, self.after = after - freq.astype(np.uint64), after
+        symbols = np.arange(len(freq), dtype=np.int64)
+        self.hash1 = symbols * 2654435761 >> 7 & (1 << _TABLE) - 1
+        self.hash2 = symbols * 2246822519 >> 11 & (1 << _TABLE) - 1
+        self.low = symbols & (1 << _TABLE) - 1
         rows = np.arange(lanes)
-        self.base1, self.base2 = rows << _TABLE1, rows << _TABLE2
+        self.base = np.stack([rows, lanes + rows]) << _TABLE
         self.mix = rows * _STATES
-        self.t1 = np.zeros(lanes << _TABLE1, np.uint32)
-        self.t2 = np.zeros(lanes << _TABLE2, np.uint32)
+        self.table = np.zeros(2 * lanes << _TABLE, np.uint32)
         self.counts = np.ones((lanes * _STATES, _SLOTS), np.int32)
-        self.flat = self.counts.reshape(-1)
-        self.prev = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
-        self.packed = np.zeros(lanes * _STATES, np.uint64)
-        self.rebuild()
+        self.bounds = np.zeros((lanes * _STATES, _SLOTS + 1), np.uint32)
+        self.bounds[:, _SLOTS] = 1 << 16 + _FINE
+        self.flat = self.bounds.reshape(-1)
+        self._share()
 
-    def rebuild(self) -> None:
-        """The four bounds between the predictions' shares, packed in one number for each lane and state."""
+    def _share(self) -> None:
+        """The bounds between the predictions' shares, for each lane and state."""
         total = self.counts.sum(axis=1)
         old = np.flatnonzero(total > 600)
         self.counts[old] = (self.counts[old] + 1) >> 1
         total[old] = self.counts[old].sum(axis=1)
         scale = (np.float32(_TOTAL0 - _LEAST0 - _SLOTS) / total).astype(np.float32)
-        bound = np.zeros(len(total), np.uint64)
-        packed = np.zeros(len(total), np.uint64)
         for i in range(_SLOTS - 1):
-            bound += (self.counts[:, i] * scale).astype(np.uint64) + _U(1)
-            packed |= bound << _U(16 * i)
-        self.packed = packed
+            part = (self.counts[:, i] * scale).astype(np.uint32) + np.uint32(1)
+            self.bounds[:, i + 1] = self.bounds[:, i] + (part << np.uint32(_FINE))
 
-    def predict(self, a: int):
-        """For the first ``a`` lanes: followers (order 2 last, before; order 1 last, before) and bounds."""
-        prev = self.prev[:a]
-        self.at1 = self.base1[:a] + (prev & ((1 << _TABLE1) - 1))
-        self.at2 = self.base2[:a] + (((prev * 40503 + self.prev2[:a] * 60493) * 2654435761 >> 20) & ((1 << _TABLE2) - 1))
-        self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
-        a1, b1, a2, b2 = self.e1 & 0xFFFF, self.e1 >> 16, self.e2 & 0xFFFF, self.e2 >> 16
-        known = lambda x, y: (x != 0).view(np.uint8) + (y != 0).view(np.uint8) + ((x == y) & (y != 0)).view(np.uint8)
-        state = (known(a2, b2) << 3) + (known(a1, b1) << 1) + (a1 == a2).view(np.uint8)
-        self.m = self.mix[:a] + state
-        packed = self.packed[self.m]
-        bounds = [(packed >> _U(16 * i)) & _LOW16 for i in range(3)] + [packed >> _U(48)]
-        return (a2, b2, a1, b1), bounds
+    def learn(self, rows: np.ndarray, slots: np.ndarray) -> None:
+        """Take in which prediction was right, at which lanes' states, since the last time."""
+        at = rows.reshape(-1) * _SLOTS + slots.reshape(-1)
+        self.counts += np.bincount(at, minlength=self.counts.size).astype(np.int32).reshape(self.counts.shape)
+        self._share()
 
-    def update(self, a: int, symbols: np.ndarray, slot: np.ndarray) -> None:
-        self.flat[self.m * _SLOTS + slot] += 1
-        now = symbols.astype(np.uint32)
-        self.t1[self.at1] = (self.e1 << 16) | now
-        self.t2[self.at2] = (self.e2 << 16) | now
-        self.prev2[:a] = self.prev[:a]
-        self.prev[:a] = symbols
+    def order0(self, symbols: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of symbols that order 0 codes, whose share begins at ``edge``."""
+        rest, shift = (_FULL - edge) >> _U(_FINE), _U(_BITS0 - _FINE)
+        return edge + (self.first.take(symbols) * rest >> shift), edge + (self.after.take(symbols) * rest >> shift)
 
 
-def _rebuild_at(t: int) -> bool:
-    return t % 128 == 0 and t > 0 or t in (8, 16, 32, 64)
+def _state(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The state that an order's followers are in, for each order: known ones, and whether they agree."""
+    is_known = last != 0
+    return is_known.view(np.uint8) + (before != 0).view(np.uint8) + ((last == before) & is_known).view(np.uint8)
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
@@ -137,66 +136,73 @@ def _encode_lanes(blocks: list[np.ndarray], place: np.ndarray, freq: np.ndarray)
         ids[i, : len(b)] = b
     ids = np.ascontiguousarray(ids.T)
     model = _Model(lanes, freq)
-    width0, cum0 = model.freq.astype(np.uint64), model.cum.astype(np.uint64)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     room = 3 * steps + 4
     out = np.zeros(lanes * room, np.uint32)
     at = np.arange(lanes) * room
-    full = _U(_TOTAL0)
+    ahead = np.zeros((2, lanes), np.int64)  # the two symbols before a window
 
-    def settle(a: int) -> None:
-        """Carries go to the digit before; lanes whose range got short give digits out."""
-        c = np.flatnonzero(low[:a] > _LOW48)
-        if len(c):
-            out[at[c] - 1] += 1
-            low[c] &= _LOW48
-        k = np.flatnonzero(rng[:a] < _U(1 << 32))
+    def settle() -> None:
+        """Lanes whose range got short give digits out, a carry as their 17th bit."""
+        k = (rng < _SHORT).nonzero()[0]
         while len(k):
-            lk = low[k]
-            out[at[k]] = lk >> _U(32)
-            at[k] += 1
-            low[k] = (lk & _U(0xFFFFFFFF)) << _U(16)
+            lk, ak = low[k], at[k]
+            out[ak] = lk >> _U(32)
+            at[k] = ak + 1
+            low[k] = (lk & _LOW32) << _U(16)
             rk = rng[k] << _U(16)
             rng[k] = rk
-            k = k[rk < _U(1 << 32)]
+            k = k[rk < _SHORT]
 
-    for t in range(steps):
-        a = lanes if t < last else lanes - 1
-        if _rebuild_at(t):
-            model.rebuild()
-        raw = ids[t, :a]
+    for begin, stop in _windows(steps):
+        # all but the coder's own numbers is known beforehand, as the shares stay for a window
+        raw = ids[begin:stop]
         now = place[raw]
-        followers, bounds = model.predict(a)
-        rest = full - bounds[3]
-        start = (bounds[3] << _U(_FINE)) + (cum0[now] * rest >> _U(_BITS0 - _FINE))
-        end = (bounds[3] << _U(_FINE)) + ((cum0[now] + width0[now]) * rest >> _U(_BITS0 - _FINE))
-        slot = np.full(a, _SLOTS - 1)
-        for i in range(_SLOTS - 2, -1, -1):  # the first that is right counts
-            hit = np.flatnonzero((followers[i] == now) & (now > 0))
-            slot[hit] = i
-            start[hit] = bounds[i - 1][hit] << _U(_FINE) if i else 0
-            end[hit] = bounds[i][hit] << _U(_FINE)
-        r = rng[:a] >> _BITS
-        low[:a] += start * r
-        rng[:a] = (end - start) * r
-        settle(a)
-        odd = np.flatnonzero(now == 0)
-        if len(odd):
-            r = rng[odd] >> _RAW_BITS
-            low[odd] += raw[odd].astype(np.uint64) * r
-            rng[odd] = r
-            settle(a)
-        model.update(a, now, slot)
+        past = np.concatenate([ahead, now])
+        ahead = past[-2:]
+        where = np.stack([model.hash1[past[1:-1]] ^ model.hash2[past[:-2]], model.low[past[1:-1]]], axis=1) + model.base
+        seen = np.empty(where.shape, np.uint32)
+        new, table = now.astype(np.uint32), model.table
+        for t in range(stop - begin):
+            table.take(where[t], out=seen[t], mode="clip")
+            table[where[t]] = (seen[t] << _HALF) | new[t]
+        newer, older = seen & _LOW16, seen >> _HALF
+        known = _state(newer, older)
+        rows = model.mix + ((known[:, 0] << 3) + (known[:, 1] << 1) + (newer[:, 0] == newer[:, 1]).view(np.uint8))
+        slot = np.full(now.shape, _SLOTS - 1, np.uint8)
+        for i, follower in ((3, older[:, 1]), (2, newer[:, 1]), (1, older[:, 0]), (0, newer[:, 0])):  # the first that is right counts
+            np.copyto(slot, i, where=follower == new)
+        escapes = now == 0
+        slot[escapes] = _SLOTS - 1
+        cell = rows * (_SLOTS + 1) + slot
+        start, end = model.flat[cell].astype(np.uint64), model.flat[cell + 1].astype(np.uint64)
+        rest = slot == _SLOTS - 1
+        start[rest], end[rest] = model.order0(now[rest], start[rest])
+        end -= start
+        if stop > last:  # the last lane is at its end and codes nothing more
+            gone = slice(max(last - begin, 0), None)
+            start[gone, -1], end[gone, -1], escapes[gone, -1] = 0, _FULL, False
+        spelt = escapes.any(axis=1)
+        for t in range(stop - begin):
+            r = rng >> _BITS
+            low += start[t] * r
+            np.multiply(end[t], r, out=rng)
+            settle()
+            if spelt[t]:
+                odd = np.flatnonzero(escapes[t])
+                r = rng[odd] >> _RAW_BITS
+                low[odd] += raw[t, odd].astype(np.uint64) * r
+                rng[odd] = r
+                settle()
+        model.learn(rows, slot)
     for shift in (32, 16, 0):
-        out[at] = (low >> _U(shift)) & _LOW16
+        out[at] = low >> _U(shift) & _U(0x1FFFF if shift == 32 else 0xFFFF)  # the first with its carry
         at += 1
+    while len(k := (out > _LOW16).nonzero()[0]):  # a lane's first digit never has a carry
+        over = out[k] >> _HALF
+        out[k] &= _LOW16
+        out[k - 1] += over
     digits = out.reshape(lanes, -1)
-    while True:
-        over = digits >> 16
-        if not over.any():
-            break
-        digits &= 0xFFFF
-        digits[:, :-1] += over[:, 1:]
     return [digits[i, : at[i] - i * room] for i in range(lanes)]
 
 
@@ -227,63 +233,77 @@ def decode(chunk: bytes) -> np.ndarray:
 
 
 def _decode_lanes(lens: np.ndarray, n_digits: np.ndarray, digits: np.ndarray, used: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
-    lanes, steps, last = len(lens), int(lens[0]), int(lens[-1])
+    lanes, steps = len(lens), int(lens[0])
     model = _Model(lanes, freq)
-    width0, cum0 = model.freq.astype(np.uint64), model.cum.astype(np.uint64)
-    slots0 = np.repeat(np.arange(len(freq)), model.freq)
+    slots0 = np.repeat(np.arange(len(freq)), freq)
     at = np.concatenate([[0], np.cumsum(n_digits)[:-1]])
     digits = np.concatenate([digits, np.zeros(4, digits.dtype)]).astype(np.uint64)
-    stop = len(digits) - 1
     code = (digits[at] << _U(32)) | (digits[at + 1] << _U(16)) | digits[at + 2]
     at = at + 3
     rng = np.full(lanes, 1 << 48, np.uint64)
-    ids = np.zeros((steps, lanes), np.uint32)
-    full, most = _U(_TOTAL0), _U((1 << (16 + _FINE)) - 1)
+    symbols = np.zeros((steps, lanes), np.uint16)
+    spelt = []
+    most = _FULL - _U(1)
+    lane, corner, line = np.arange(lanes), np.arange(lanes) * (_SLOTS + 1), np.arange(_SLOTS) * lanes
+    followers = np.zeros((_SLOTS, lanes), np.uint32)  # none for order 0
+    newer, older = followers[0:4:2], followers[1:4:2]
+    where = np.empty((2, lanes), np.int64)
+    prev = prev2 = np.zeros(lanes, np.int64)
 
-    def settle(a: int) -> None:
-        k = np.flatnonzero(rng[:a] < _U(1 << 32))
+    def settle() -> None:
+        k = (rng < _SHORT).nonzero()[0]
         while len(k):
-            code[k] = (code[k] << _U(16)) | digits[np.minimum(at[k], stop)]
-            at[k] += 1
+            ak = at[k]
+            code[k] = (code[k] << _U(16)) | digits.take(ak, mode="clip")
+            at[k] = ak + 1
             rk = rng[k] << _U(16)
             rng[k] = rk
-            k = k[rk < _U(1 << 32)]
+            k = k[rk < _SHORT]
 
-    for t in range(steps):
-        a = lanes if t < last else lanes - 1
-        if _rebuild_at(t):
-            model.rebuild()
-        followers, bounds = model.predict(a)
-        r = rng[:a] >> _BITS
-        v = np.minimum(code[:a] // r, most)
-        part = v >> _U(_FINE)
-        slot = (part >= bounds[0]).view(np.uint8) + (part >= bounds[1]).view(np.uint8) + (part >= bounds[2]).view(np.uint8) + (part >= bounds[3]).view(np.uint8)
-        start, end, now = np.empty(a, np.uint64), np.empty(a, np.uint64), np.empty(a, np.int64)
-        for i in range(_SLOTS - 1):
-            hit = np.flatnonzero(slot == i)
-            start[hit] = bounds[i - 1][hit] << _U(_FINE) if i else 0
-            end[hit] = bounds[i][hit] << _U(_FINE)
-            now[hit] = followers[i][hit]
-        k = np.flatnonzero(slot == _SLOTS - 1)
-        edge = bounds[3][k]
-        rest = full - edge
-        edge <<= _U(_FINE)
-        u = np.minimum((((v[k] - edge + _U(1)) << _U(_BITS0 - _FINE)) - _U(1)) // rest, full - _U(1))
-        symbol = slots0[u.astype(np.int64)]
-        now[k] = symbol
-        start[k] = edge + (cum0[symbol] * rest >> _U(_BITS0 - _FINE))
-        end[k] = edge + ((cum0[symbol] + width0[symbol]) * rest >> _U(_BITS0 - _FINE))
-        code[:a] -= start * r
-        rng[:a] = (end - start) * r
-        settle(a)
-        ids[t, :a] = used[now]
-        odd = np.flatnonzero(now == 0)
-        if len(odd):
-            r = rng[odd] >> _RAW_BITS
-            raw = np.minimum(code[odd] // r, _U(MAX_ID))
-            code[odd] -= raw * r
-            rng[odd] = r
-            settle(a)
-            ids[t, odd] = raw
-        model.update(a, now, slot)
+    # a last, shorter lane goes on beyond its end, and what it gives there isn't used
+    for begin, stop in _windows(steps):
+        rows = np.empty((stop - begin, lanes), np.int64)
+        slots = np.empty((stop - begin, lanes), np.uint8)
+        for t in range(stop - begin):
+            np.bitwise_xor(model.hash1.take(prev), model.hash2.take(prev2), out=where[0])
+            model.low.take(prev, out=where[1], mode="clip")
+            where += model.base
+            seen = model.table.take(where)
+            np.bitwise_and(seen, _LOW16, out=newer)
+            np.right_shift(seen, _HALF, out=older)
+            known = _state(newer, older)
+            row = np.add(model.mix, (known[0] << 3) + (known[1] << 1) + (newer[0] == newer[1]).view(np.uint8), out=rows[t])
+            bounds = model.bounds.take(row, axis=0)
+            r = rng >> _BITS
+            v = np.minimum(code // r, most).astype(np.uint32)
+            slot = np.bitwise_count((bounds[:, 1:_SLOTS] <= v[:, None]).view(np.uint32), out=slots[t, :, None])[:, 0]
+            cell = corner + slot
+            start, end = bounds.take(cell).astype(np.uint64), bounds.take(cell + 1).astype(np.uint64)
+            now = followers.take(line.take(slot) + lane).astype(np.int64)
+            k = (slot == _SLOTS - 1).nonzero()[0]
+            edge = start[k]
+            rest = (_FULL - edge) >> _U(_FINE)
+            u = np.minimum((((v[k] - edge + _U(1)) << _U(_BITS0 - _FINE)) - _U(1)) // rest, _U(_TOTAL0 - 1))
+            symbol = slots0[u.astype(np.int64)]
+            now[k] = symbol
+            start[k], end[k] = model.order0(symbol, edge)
+            code -= start * r
+            end -= start
+            np.multiply(end, r, out=rng)
+            settle()
+            odd = k[symbol == 0]
+            if len(odd):
+                r = rng[odd] >> _RAW_BITS
+                raw = np.minimum(code[odd] // r, _U(MAX_ID))
+                code[odd] -= raw * r
+                rng[odd] = r
+                settle()
+                spelt.append((begin + t, odd, raw))
+            symbols[begin + t] = now
+            model.table[where] = (seen << _HALF) | now.astype(np.uint32)
+            prev2, prev = prev, now
+        model.learn(rows, slots)
+    ids = used.astype(np.uint32)[symbols]
+    for t, odd, raw in spelt:
+        ids[t, odd] = raw
     return [np.ascontiguousarray(ids[:n, i]) for i, n in enumerate(lens)]
