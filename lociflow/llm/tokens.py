@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,11 @@ END_ID = 2
 CHUNK_IDS = 8 << 20
 #: Pieces of text whose ids a worker remembers at most, in two generations; a piece takes about 200 bytes.
 CACHE = 1_000_000
-#: New pieces that the library gets as the lines of one text.
-_LINES = 1000
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that the tokenizer never joins: its own splitting respects white space in this way.
 _PIECE = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+#: A word of Latin-1 letters, and signs that byte-level splitting parts from it.
+_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 _loaded: dict = {}
 
 
@@ -44,62 +45,80 @@ def vocabulary(path: str | None = None) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: its own if it is a visible Latin-1
+    sign, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
+
+
+class _Pieces(dict):
+    """Ids of pieces, as bytes; a piece not remembered is asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.encode, self.model = tokenizer.encode_batch_fast, tokenizer.model
+        letters = _byte_letters()
+        self.spelt = {x: "".join(letters[b] for b in chr(x).encode()) for x in (32, *range(0xC0, 0x100))}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._ask(piece)
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def _ask(self, piece: str) -> bytes:
+        # the tokenizer's splitting leaves a word whole, so its model can be asked at once
+        if piece.isascii() and piece[1:].isalpha():
+            if piece[0] == " ":
+                return self._word(self.spelt[32] + piece[1:])
+            if piece[0].isalpha():
+                return self._word(piece)
+        word = _WORD.fullmatch(piece)
+        if not word:
+            return array("I", self.encode([piece], add_special_tokens=False)[0].ids).tobytes()
+        if word[2]:
+            return self[word[1]] + self[word[2]]
+        return self._word(piece.translate(self.spelt))
+
+    def _word(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for each distinct piece."""
+    """Ids of texts by the tokenizers library. Of a byte-level vocabulary it is asked once for each distinct
+    piece between white space; texts go to it whole with any other, or if they hold a special token's string."""
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(vocabulary(path))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Makes ``known`` have all ``pieces``. A line end between two pieces that hold none is always a
-        token of its own, so many are asked for at once."""
-        if len(self.known) + len(pieces) > CACHE // 2:
-            self.known, self.older = {}, self.known
-        new = []
-        for piece in pieces.difference(self.known):
-            if (ids := self.older.get(piece)) is not None:
-                self.known[piece] = ids
-            else:
-                new.append(piece)
-        blank = [p for p in new if p.isspace()]
-        for piece, ids in zip(blank, self._ids(blank), strict=True):
-            self.known[piece] = ids.tobytes()
-        lines = [p for p in new if not p.isspace()]
-        groups = [lines[at : at + _LINES] for at in range(0, len(lines), _LINES)]
-        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups]), strict=True):
-            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-            raw, first = ids.tobytes(), 0
-            for piece, end in zip(group, ends, strict=True):
-                self.known[piece] = raw[4 * first : 4 * end]
-                first = end + 1
+        self.tokenizer = t = Tokenizer.from_file(vocabulary(path))
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
+        split = t.pre_tokenizer
+        self.by_piece = isinstance(t.model, models.BPE) and t.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+        self.known = _Pieces(t)
+
+    @property
+    def older(self) -> dict[str, bytes]:
+        """The pieces of the generation before."""
+        return self.known.older
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        get = self.known.__getitem__
         out: list[np.ndarray] = []
-        at = 0
-        while at < len(texts):
-            # about a million characters at a time
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < 1 << 20):
-                chars += len(texts[end] or "")
-                end += 1
-            # a text with a special token's string goes to the library whole
-            odd = [bool(t) and any(s in t for s in self.special) for t in texts[at:end]]
-            split = [[] if o else _PIECE.findall(t or "") for o, t in zip(odd, texts[at:end], strict=True)]
-            self._learn(set().union(*split))
-            get = self.known.__getitem__
-            for o, t, pieces in zip(odd, texts[at:end], split, strict=True):
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if o else np.frombuffer(b"".join(map(get, pieces)), np.uint32))
-            at = end
+        for text in texts:
+            text = text or ""
+            if self.by_piece and not any(s in text for s in self.special):
+                out.append(np.frombuffer(b"".join(map(get, _PIECE.findall(text))), np.uint32))
+            else:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
         return out
 
 
