@@ -75,6 +75,29 @@ def test_pieces_of_text_are_the_tokenizers_own():
     assert all(list(g) == w.ids for g, w in zip(e.encode(texts), want, strict=True))
 
 
+def test_words_are_the_models_own():
+    e = tokens.Encoder()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([" ", "", "\n"]) + "".join(rng.choices("aenstXéßñüÀÖ×÷ªµÿ", k=rng.randrange(9))) + rng.choice(["", "", ",", "...", "'s", "_", "(-)", "9", "\x7f"]) for _ in range(8)) for _ in range(4000)]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(list(g) == w.ids for g, w in zip(e.encode(texts), want, strict=True))
+
+
+def test_other_vocabularies_get_whole_texts():
+    import public_tokenizers
+
+    e = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Two  words, one\n\nline", "", None, "a b'll <|endoftext|> C"]
+    want = e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert not e.by_piece and [list(x) for x in e.encode(texts)] == [w.ids for w in want]
+
+
+def test_carries_go_up():
+    ids = np.tile(np.r_[np.zeros(40), np.full(3, 7), np.arange(5)], 500).astype(np.uint32)
+    for n in range(1, 4):
+        assert (rangecoder.decode(rangecoder.encode(ids, 100 * n + 1)) == ids).all()
+
+
 def test_licence_expressions():
     assert licenses.to_postfix("MIT OR (GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause)") == ["MIT", "GPL-2.0-only", "Classpath-exception-2.0", "with", "BSD-3-Clause", "and", "or"]
     for bad in ("", "OR MIT", "(MIT", "MIT AND"):
