@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop_stored, fresh, stored
+from .common import arrow_batches, col, drop_stored, fresh, stored
 
 N_SHARDS = 8
 SEED = 20240611
@@ -27,6 +27,8 @@ BUCKET_BYTES = 16 << 20
 MAX_TASKS = 20_000
 #: Rows of equal id and text that are numbered together, about; kinds of them broadcast at most (16 bytes each).
 RUN_ROWS, MAX_BROADCAST_ROWS = 8192, 1_000_000
+#: Of a batch to and from Python, about (rows are whole); rows of a batch from Python at most.
+BATCH_BYTES = 2 << 20
 _OUT_ROWS = 2048
 
 
@@ -46,10 +48,13 @@ def _shuffle_buckets(seed: int, bucket_col: str, part_col: str, pos_col: str):
 
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal done
-            rows = pa.Table.from_batches(held)
+            # in one piece: each take from several would copy the whole bucket
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             order = _fisher_yates(seed, current, len(rows))
-            for at in range(0, len(order), _OUT_ROWS):
-                part = rows.take(pa.array(order[at : at + _OUT_ROWS]))
+            step = min(_OUT_ROWS, max(1, len(rows) * BATCH_BYTES // max(1, rows.nbytes)))
+            for at in range(0, len(order), step):
+                part = rows.take(pa.array(order[at : at + step]))
                 part = part.append_column(part_col, pa.array(np.full(len(part), task, np.int32)))
                 pos = pa.array(np.arange(done, done + len(part)), pa.int64())
                 done += len(part)
@@ -63,11 +68,11 @@ def _shuffle_buckets(seed: int, bucket_col: str, part_col: str, pos_col: str):
                     continue
                 if held and int(buckets[a]) != current:
                     yield from emit()
-                    held.clear()
                 current = int(buckets[a])
                 held.append(batch.slice(a, b - a))
         if held:
             yield from emit()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
@@ -128,7 +133,8 @@ def external_shuffle(
     # a task has many buckets if there are very many, and holds one at a time
     scattered = keyed.repartition(min(n_buckets, MAX_TASKS), F.col(bucket)).sortWithinPartitions(bucket, col(id_col), h)
     schema = T.StructType([*scattered.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(pos, T.LongType())])
-    rows = stored(scattered.mapInArrow(_shuffle_buckets(seed, bucket, part, pos), schema).drop(h, bucket), "shuffled")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        rows = stored(scattered.mapInArrow(_shuffle_buckets(seed, bucket, part, pos), schema).drop(h, bucket), "shuffled")
 
     # one row for each task of the second pass: MAX_TASKS (16 bytes each) at most
     counts = rows.groupBy(part).agg(F.count("*").alias(first))
