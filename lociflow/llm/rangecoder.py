@@ -34,6 +34,8 @@ _LEAST0, _FINE = 2048, 6
 _BITS = np.uint64(16 + _FINE)
 _TABLE = 13
 _STATES, _SLOTS = 32, 5
+#: Numbers kept for a state: its bounds and room up to a length that numpy copies at once.
+_WIDE = 8
 _U = np.uint64
 _LOW16, _HALF = np.uint32(0xFFFF), np.uint32(16)
 _LOW32, _SHORT, _FULL = _U(0xFFFFFFFF), _U(1 << 32), _U(1 << 16 + _FINE)
@@ -61,8 +63,7 @@ class _Model:
     """
 
     def __init__(self, lanes: int, freq: np.ndarray):
-        after = np.cumsum(freq).astype(np.uint64)
-        self.first, self.after = after - freq.astype(np.uint64), after
+        self.edges = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint32)
         symbols = np.arange(len(freq), dtype=np.int64)
         self.hash1 = symbols * 2654435761 >> 7 & (1 << _TABLE) - 1
         self.hash2 = symbols * 2246822519 >> 11 & (1 << _TABLE) - 1
@@ -71,33 +72,41 @@ class _Model:
         self.base = np.stack([rows, lanes + rows]) << _TABLE
         self.mix = rows * _STATES
         self.table = np.zeros(2 * lanes << _TABLE, np.uint32)
-        self.counts = np.ones((lanes * _STATES, _SLOTS), np.int32)
-        self.bounds = np.zeros((lanes * _STATES, _SLOTS + 1), np.uint32)
-        self.bounds[:, _SLOTS] = 1 << 16 + _FINE
+        self.counts = np.ones((_SLOTS, lanes * _STATES), np.int32)
+        self.bounds = np.zeros((lanes * _STATES, _WIDE), np.uint32)
+        self.bounds[:, _SLOTS:] = 1 << 16 + _FINE
         self.flat = self.bounds.reshape(-1)
         self._share()
 
     def _share(self) -> None:
         """The bounds between the predictions' shares, for each lane and state."""
-        total = self.counts.sum(axis=1)
+        total = self.counts.sum(axis=0, dtype=np.int64)
         old = np.flatnonzero(total > 600)
-        self.counts[old] = (self.counts[old] + 1) >> 1
-        total[old] = self.counts[old].sum(axis=1)
+        halves = (self.counts[:, old] + 1) >> 1
+        self.counts[:, old] = halves
+        total[old] = halves.sum(axis=0)
         scale = (np.float32(_TOTAL0 - _LEAST0 - _SLOTS) / total).astype(np.float32)
+        bound = np.zeros(len(total), np.uint32)
         for i in range(_SLOTS - 1):
-            part = (self.counts[:, i] * scale).astype(np.uint32) + np.uint32(1)
-            self.bounds[:, i + 1] = self.bounds[:, i] + (part << np.uint32(_FINE))
+            part = (self.counts[i] * scale).astype(np.uint32) + np.uint32(1)
+            bound += part << np.uint32(_FINE)
+            self.bounds[:, i + 1] = bound
 
     def learn(self, rows: np.ndarray, slots: np.ndarray) -> None:
         """Take in which prediction was right, at which lanes' states, since the last time."""
-        at = rows.reshape(-1) * _SLOTS + slots.reshape(-1)
-        self.counts += np.bincount(at, minlength=self.counts.size).astype(np.int32).reshape(self.counts.shape)
+        at = slots.reshape(-1) * np.int64(self.counts.shape[1])
+        at += rows.reshape(-1)
+        self.counts += np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
         self._share()
 
-    def order0(self, symbols: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of symbols that order 0 codes, whose share begins at ``edge``."""
-        rest, shift = (_FULL - edge) >> _U(_FINE), _U(_BITS0 - _FINE)
-        return edge + (self.first.take(symbols) * rest >> shift), edge + (self.after.take(symbols) * rest >> shift)
+    def order0(self, symbols: np.ndarray, edge: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of symbols that order 0 codes, whose share begins at ``edge`` and has 2**_FINE times ``rest``."""
+        shift = _U(_BITS0 - _FINE)
+        return edge + (self.edges.take(symbols) * rest >> shift), edge + (self.edges.take(symbols + 1) * rest >> shift)
+
+
+def _rest(edge: np.ndarray) -> np.ndarray:
+    return (_FULL - edge) >> _U(_FINE)
 
 
 def _state(last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -146,21 +155,21 @@ def _encode_lanes(blocks: list[np.ndarray], place: np.ndarray, freq: np.ndarray)
         """Lanes whose range got short give digits out, a carry as their 17th bit."""
         k = (rng < _SHORT).nonzero()[0]
         while len(k):
-            lk, ak = low[k], at[k]
+            lk, ak = low.take(k), at.take(k)
             out[ak] = lk >> _U(32)
             at[k] = ak + 1
             low[k] = (lk & _LOW32) << _U(16)
-            rk = rng[k] << _U(16)
+            rk = rng.take(k) << _U(16)
             rng[k] = rk
             k = k[rk < _SHORT]
 
     for begin, stop in _windows(steps):
         # all but the coder's own numbers is known beforehand, as the shares stay for a window
         raw = ids[begin:stop]
-        now = place[raw]
+        now = place.take(raw)
         past = np.concatenate([ahead, now])
         ahead = past[-2:]
-        where = np.stack([model.hash1[past[1:-1]] ^ model.hash2[past[:-2]], model.low[past[1:-1]]], axis=1) + model.base
+        where = np.stack([model.hash1.take(past[1:-1]) ^ model.hash2.take(past[:-2]), model.low.take(past[1:-1])], axis=1) + model.base
         seen = np.empty(where.shape, np.uint32)
         new, table = now.astype(np.uint32), model.table
         for t in range(stop - begin):
@@ -174,10 +183,11 @@ def _encode_lanes(blocks: list[np.ndarray], place: np.ndarray, freq: np.ndarray)
             np.copyto(slot, i, where=follower == new)
         escapes = now == 0
         slot[escapes] = _SLOTS - 1
-        cell = rows * (_SLOTS + 1) + slot
-        start, end = model.flat[cell].astype(np.uint64), model.flat[cell + 1].astype(np.uint64)
-        rest = slot == _SLOTS - 1
-        start[rest], end[rest] = model.order0(now[rest], start[rest])
+        cell = rows * _WIDE + slot
+        start, end = model.flat.take(cell).astype(np.uint64), model.flat.take(cell + 1).astype(np.uint64)
+        k = (slot == _SLOTS - 1).reshape(-1).nonzero()[0]
+        edge = start.take(k)
+        start.reshape(-1)[k], end.reshape(-1)[k] = model.order0(now.take(k), edge, _rest(edge))
         end -= start
         if stop > last:  # the last lane is at its end and codes nothing more
             gone = slice(max(last - begin, 0), None)
@@ -235,7 +245,7 @@ def decode(chunk: bytes) -> np.ndarray:
 def _decode_lanes(lens: np.ndarray, n_digits: np.ndarray, digits: np.ndarray, used: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
     lanes, steps = len(lens), int(lens[0])
     model = _Model(lanes, freq)
-    slots0 = np.repeat(np.arange(len(freq)), freq)
+    slots0 = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
     at = np.concatenate([[0], np.cumsum(n_digits)[:-1]])
     digits = np.concatenate([digits, np.zeros(4, digits.dtype)]).astype(np.uint64)
     code = (digits[at] << _U(32)) | (digits[at + 1] << _U(16)) | digits[at + 2]
@@ -244,7 +254,7 @@ def _decode_lanes(lens: np.ndarray, n_digits: np.ndarray, digits: np.ndarray, us
     symbols = np.zeros((steps, lanes), np.uint16)
     spelt = []
     most = _FULL - _U(1)
-    lane, corner, line = np.arange(lanes), np.arange(lanes) * (_SLOTS + 1), np.arange(_SLOTS) * lanes
+    lane, corner, line = np.arange(lanes), np.arange(lanes) * _WIDE, np.arange(_SLOTS) * lanes
     followers = np.zeros((_SLOTS, lanes), np.uint32)  # none for order 0
     newer, older = followers[0:4:2], followers[1:4:2]
     where = np.empty((2, lanes), np.int64)
@@ -253,10 +263,10 @@ def _decode_lanes(lens: np.ndarray, n_digits: np.ndarray, digits: np.ndarray, us
     def settle() -> None:
         k = (rng < _SHORT).nonzero()[0]
         while len(k):
-            ak = at[k]
-            code[k] = (code[k] << _U(16)) | digits.take(ak, mode="clip")
+            ak = at.take(k)
+            code[k] = (code.take(k) << _U(16)) | digits.take(ak, mode="clip")
             at[k] = ak + 1
-            rk = rng[k] << _U(16)
+            rk = rng.take(k) << _U(16)
             rng[k] = rk
             k = k[rk < _SHORT]
 
@@ -276,23 +286,25 @@ def _decode_lanes(lens: np.ndarray, n_digits: np.ndarray, digits: np.ndarray, us
             bounds = model.bounds.take(row, axis=0)
             r = rng >> _BITS
             v = np.minimum(code // r, most).astype(np.uint32)
-            slot = np.bitwise_count((bounds[:, 1:_SLOTS] <= v[:, None]).view(np.uint32), out=slots[t, :, None])[:, 0]
+            slot = np.less_equal(bounds[:, 1], v, out=slots[t].view(bool)).view(np.uint8)
+            for i in range(2, _SLOTS):
+                slot += (bounds[:, i] <= v).view(np.uint8)
             cell = corner + slot
             start, end = bounds.take(cell).astype(np.uint64), bounds.take(cell + 1).astype(np.uint64)
             now = followers.take(line.take(slot) + lane).astype(np.int64)
             k = (slot == _SLOTS - 1).nonzero()[0]
-            edge = start[k]
-            rest = (_FULL - edge) >> _U(_FINE)
-            u = np.minimum((((v[k] - edge + _U(1)) << _U(_BITS0 - _FINE)) - _U(1)) // rest, _U(_TOTAL0 - 1))
-            symbol = slots0[u.astype(np.int64)]
+            edge = start.take(k)
+            rest = _rest(edge)
+            u = np.minimum((((v.take(k) - edge + _U(1)) << _U(_BITS0 - _FINE)) - _U(1)) // rest, _U(_TOTAL0 - 1))
+            symbol = slots0.take(u.astype(np.int64)).astype(np.int64)
             now[k] = symbol
-            start[k], end[k] = model.order0(symbol, edge)
+            start[k], end[k] = model.order0(symbol, edge, rest)
             code -= start * r
             end -= start
             np.multiply(end, r, out=rng)
             settle()
-            odd = k[symbol == 0]
-            if len(odd):
+            if not symbol.all():
+                odd = k[symbol == 0]
                 r = rng[odd] >> _RAW_BITS
                 raw = np.minimum(code[odd] // r, _U(MAX_ID))
                 code[odd] -= raw * r

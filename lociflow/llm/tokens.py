@@ -7,10 +7,10 @@ chunk decode on their own and carry checksums.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +31,18 @@ CACHE = 1_000_000
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that the tokenizer never joins: its own splitting respects white space in this way.
 _PIECE = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-#: A word of Latin-1 letters, and signs that byte-level splitting parts from it.
-_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Behind a line's end or none, a word of Latin-1 letters, and signs that byte-level splitting parts from both.
+_WORD = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+_BLANK = re.compile(f"[{_SPACES}]\\Z")
+#: Characters whose pieces wait for their ids together; pieces of a longer text that do; words that the model gets as one.
+_WAIT, _WAIT_PIECES, _TOGETHER = 1 << 21, 1 << 18, 64
+#: 8-byte words of a remembered piece; places tried for a piece in a table.
+_SMALL, _LARGE, _PROBES = 2, 8, 32
+#: The last bytes of white space in UTF-8, and of other characters.
+_BLANK_BYTES = np.isin(np.arange(256), [x.encode()[-1] for x in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
+#: Bytes that no text has, as Python holds them: behind a piece, and where splitting parts one.
+_END, _PART = "\udcff", "\udcfe"
+_NONE = np.zeros(0, np.uint32)
 _loaded: dict = {}
 
 
@@ -53,42 +63,219 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
 
 
-class _Pieces(dict):
-    """Ids of pieces, as bytes; a piece not remembered is asked for."""
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first``, one behind the other."""
+    end = np.cumsum(size)
+    return np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
+class _Table:
+    """Ids of pieces, found by the pieces' own bytes: ``n_words`` words of 8, the last with the length as its highest byte."""
+
+    def __init__(self, n_words: int):
+        at = np.arange(8 * n_words)
+        below = at.reshape(1, n_words, 8) < at.reshape(-1, 1, 1)
+        self.masks = np.ascontiguousarray((below * np.uint8(255)).view("<u8")[:, :, 0].T)
+        self.keys = [np.zeros(0, np.uint64) for _ in range(n_words)]
+        self.first, self.size, self.blank, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), _NONE
+        self.slots, self.shift = np.full(1 << 10, -1, np.int32), np.uint64(54)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def key(self, data: bytes, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The keys of pieces of ``data``, behind which 64 more bytes must be."""
+        at = np.ndarray(len(data) - 7, "<u8", data, strides=1)
+        key = [at[start + 8 * i] & mask.take(size) for i, mask in enumerate(self.masks)]
+        key[-1] |= size.astype(np.uint64) << np.uint64(56)
+        return key
+
+    @staticmethod
+    def hashed(key: list[np.ndarray]) -> np.ndarray:
+        h = np.zeros(len(key[0]), np.uint64)
+        for k in key:
+            h ^= k
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h
+
+    def find(self, key: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these keys; -1 if not remembered."""
+        found = np.full(len(h), -1, np.int64)
+        if not len(self):
+            return found
+        left, slot = slice(None), (h >> self.shift).astype(np.int64)
+        for _ in range(_PROBES):
+            n = self.slots.take(slot)
+            used = n >= 0
+            same = used.copy()
+            for mine, k in zip(self.keys, key, strict=True):
+                same &= mine.take(n, mode="clip") == k[left]
+            found[left] = np.where(same, n, -1)
+            more = np.flatnonzero(used & ~same)
+            if not len(more):
+                break
+            left = more if type(left) is slice else left[more]
+            slot = slot[more] + 1 & len(self.slots) - 1
+        return found
+
+    def add(self, key: list[np.ndarray], size: np.ndarray, blank: np.ndarray, ids: np.ndarray) -> None:
+        """Remember different pieces that weren't found."""
+        n = len(self)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.blank, self.ids = np.concatenate([self.size, size]), np.concatenate([self.blank, blank]), np.concatenate([self.ids, ids])
+        self.keys = [np.concatenate(x) for x in zip(self.keys, key, strict=True)]
+        if 2 * len(self) > len(self.slots):
+            bits = (2 * len(self)).bit_length()
+            self.slots, self.shift, n = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits), 0
+        left = np.arange(n, len(self), dtype=np.int32)
+        slot = (self.hashed([k[n:] for k in self.keys]) >> self.shift).astype(np.int64)
+        for _ in range(_PROBES):  # what finds no place is asked for again
+            free = np.flatnonzero(self.slots.take(slot) < 0)
+            self.slots[slot[free]] = left[free]
+            out = np.flatnonzero(self.slots.take(slot) != left)
+            left, slot = left[out], slot[out] + 1 & len(self.slots) - 1
+
+
+class _Generation:
+    """The pieces remembered since the last one was full."""
+
+    def __init__(self) -> None:
+        self.tables = _Table(_SMALL), _Table(_LARGE)
+
+    def __len__(self) -> int:
+        return sum(map(len, self.tables))
+
+
+class _Pieces:
+    """Ids of texts by their pieces. Pieces that aren't remembered are asked for together."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-        self.encode, self.model = tokenizer.encode_batch_fast, tokenizer.model
-        letters = _byte_letters()
-        self.spelt = {x: "".join(letters[b] for b in chr(x).encode()) for x in (32, *range(0xC0, 0x100))}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self._ask(piece)
-        if len(self) >= CACHE // 2:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def _ask(self, piece: str) -> bytes:
-        # the tokenizer's splitting leaves a word whole, so its model can be asked at once
-        if piece.isascii() and piece[1:].isalpha():
-            if piece[0] == " ":
-                return self._word(self.spelt[32] + piece[1:])
-            if piece[0].isalpha():
-                return self._word(piece)
-        word = _WORD.fullmatch(piece)
-        if not word:
-            return array("I", self.encode([piece], add_special_tokens=False)[0].ids).tobytes()
-        if word[2]:
-            return self[word[1]] + self[word[2]]
-        return self._word(piece.translate(self.spelt))
-
-    def _word(self, letters: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        from tokenizers import Tokenizer
+
+        self.batch = tokenizer.encode_batch_fast
+        self.letters = "".join(_byte_letters())
+        model, vocab = tokenizer.model, tokenizer.get_vocab()
+        marks = self.letters[0xFF], self.letters[0xFE]
+        self.end, self.part = (vocab.get(x) for x in marks)
+        # nothing is merged over a byte that no other entry has, so the model can be asked for many words at once
+        plain = not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix or model.ignore_merges)
+        apart = None not in (self.end, self.part) and sum(marks[0] in x or marks[1] in x for x in vocab) == 2
+        self.bare = Tokenizer(model).encode_batch_fast if plain and apart else None
+        self.known, self.older = _Generation(), _Generation()
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts of ``_WAIT`` characters together, or of one longer text."""
+        if len(texts) == 1 and len(texts[0]) > _WAIT:
+            return [self._slowly(texts[0])]
+        parts = [t.encode() for t in texts]
+        data = b"".join(parts)
+        begin = np.cumsum([0] + [len(x) for x in parts])
+        # cut before each space and each line's end: no piece goes over these cuts if none of the parts ends with white space
+        raw = np.frombuffer(data, np.uint8)
+        cut = (raw == 32) | (raw == 10)
+        cut[begin[:-1][begin[:-1] < len(raw)]] = True
+        start = np.flatnonzero(cut)
+        ids, size, blank = self._ids(data, start, np.diff(start, append=len(raw)))
+        bound = np.searchsorted(start, begin)
+        end = np.concatenate([[0], np.cumsum(size)])[bound]
+        blank = np.concatenate([[0], np.cumsum(blank)])[bound]
+        return [self._slowly(t) if blank[i + 1] > blank[i] else ids[end[i] : end[i + 1]] for i, t in enumerate(texts)]
+
+    def _slowly(self, text: str) -> np.ndarray:
+        """The same of one text, its pieces found by the tokenizer's rule for white space."""
+        pieces = _PIECE.findall(text)
+        out = [_NONE]
+        for at in range(0, len(pieces), _WAIT_PIECES):
+            some = [x.encode() for x in pieces[at : at + _WAIT_PIECES]]
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            out.append(self._ids(b"".join(some), np.cumsum(size) - size, size)[0])
+        return np.concatenate(out)
+
+    def _ids(self, data: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the pieces of ``data``, how many each has, and which end with white space."""
+        padded = data + bytes(64)
+        first, size, blank = np.empty(len(start), np.int64), np.empty(len(start), np.int64), np.empty(len(start), bool)
+        pool, base = [], 0
+        large = length >= 8 * _SMALL
+        far = length >= 8 * _LARGE
+        for i, which in enumerate((~large, large & ~far)):
+            rows = np.flatnonzero(which)
+            table = self.known.tables[i]
+            if len(rows):
+                at, n_bytes = start[rows], length[rows]
+                key = table.key(padded, at, n_bytes)
+                h = table.hashed(key)
+                n = table.find(key, h)
+                new = np.flatnonzero(n < 0)
+                if len(new):
+                    n[new] = self._learn(i, data, at[new], n_bytes[new], [k[new] for k in key], h[new])
+                first[rows], size[rows], blank[rows] = table.first[n] + base, table.size[n], table.blank[n]
+            pool.append(table.ids)
+            base += len(table.ids)
+        rows = np.flatnonzero(far)  # too long to be worth remembering
+        if len(rows):
+            pieces = [data[a : a + n].decode() for a, n in zip(start[rows].tolist(), length[rows].tolist(), strict=True)]
+            ids, some = self._ask(pieces)
+            first[rows], size[rows], blank[rows] = np.cumsum(some) - some + base, some, [bool(_BLANK.search(x)) for x in pieces]
+            pool.append(ids)
+        ids = np.concatenate(pool)[_runs(first, size)]
+        if len(self.known) >= CACHE // 2:
+            self.known, self.older = _Generation(), self.known
+        return ids, size, blank
+
+    def _learn(self, i: int, data: bytes, start: np.ndarray, length: np.ndarray, key: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+        """Take in pieces that aren't remembered in table ``i``; their numbers."""
+        table, older = self.known.tables[i], self.older.tables[i]
+        _, one, same = np.unique(h, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(np.any([k != k[one][same] for k in key], axis=0))  # others of the same hash stand alone
+        same[odd] = len(one) + np.arange(len(odd))
+        one = np.concatenate([one, odd])
+        key, h = [k[one] for k in key], h[one]
+        old = older.find(key, h)
+        size, blank = np.empty(len(one), np.int64), np.empty(len(one), bool)
+        was, new = old >= 0, np.flatnonzero(old < 0)
+        size[was], blank[was] = older.size[old[was]], older.blank[old[was]]
+        pieces = [data[a : a + n].decode() for a, n in zip(start[one[new]].tolist(), length[one[new]].tolist(), strict=True)]
+        asked, size[new] = self._ask(pieces)
+        blank[new] = False
+        for j in np.flatnonzero(_BLANK_BYTES[np.frombuffer(data, np.uint8)[(start + length)[one[new]] - 1]]):
+            blank[new[j]] = bool(_BLANK.search(pieces[j]))
+        first = np.empty(len(one), np.int64)
+        first[was] = older.first[old[was]]
+        first[new] = len(older.ids) + np.cumsum(size[new]) - size[new]
+        n = len(table)
+        table.add(key, size, blank, np.concatenate([older.ids, asked])[_runs(first, size)])
+        return n + same
+
+    def _ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one piece's behind the other's, and how many each has."""
+        words, others = [], []
+        for i, piece in enumerate(pieces):
+            # the tokenizer's splitting leaves a word whole, so the model can do without
+            if self.bare and piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                words.append(piece)
+            elif self.bare and (m := _WORD.fullmatch(piece)):
+                words.append(_PART.join(filter(None, m.groups())))
+            else:
+                words.append("")
+                others.append(i)
+        size = np.zeros(len(pieces), np.int64)
+        ids = _NONE
+        if self.bare:
+            whole = (_END.join(words[at : at + _TOGETHER]) + _END for at in range(0, len(words), _TOGETHER))
+            spelt = [codecs.charmap_decode(x.encode("utf-8", "surrogateescape"), "strict", self.letters)[0] for x in whole]
+            ids = np.concatenate([_NONE, *(np.array(x.ids, np.uint32) for x in self.bare(spelt, add_special_tokens=False))])
+            ids = ids[ids != self.part]
+            is_end = ids == self.end
+            size = np.diff(np.flatnonzero(is_end), prepend=-1) - 1
+            ids = ids[~is_end]
+        if others:
+            found = [np.array(x.ids, np.uint32) for x in self.batch([pieces[i] for i in others], add_special_tokens=False)]
+            ids = np.insert(ids, np.repeat(np.cumsum(size)[others], [len(x) for x in found]), np.concatenate(found))
+            size[others] = [len(x) for x in found]
+        return ids, size
 
 
 class Encoder:
@@ -103,22 +290,41 @@ class Encoder:
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
         split = t.pre_tokenizer
         self.by_piece = isinstance(t.model, models.BPE) and t.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
-        self.known = _Pieces(t)
+        self.pieces = _Pieces(t) if self.by_piece else None
+
+    @property
+    def known(self) -> _Generation:
+        """The pieces remembered."""
+        return self.pieces.known
 
     @property
-    def older(self) -> dict[str, bytes]:
+    def older(self) -> _Generation:
         """The pieces of the generation before."""
-        return self.known.older
+        return self.pieces.older
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        get = self.known.__getitem__
-        out: list[np.ndarray] = []
-        for text in texts:
-            text = text or ""
-            if self.by_piece and not any(s in text for s in self.special):
-                out.append(np.frombuffer(b"".join(map(get, _PIECE.findall(text))), np.uint32))
-            else:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        out: list[np.ndarray] = [_NONE] * len(texts)
+        waiting: list[int] = []
+        size = 0
+
+        def settle() -> None:
+            for i, ids in zip(waiting, self.pieces.texts([texts[i] for i in waiting]), strict=True):
+                out[i] = ids
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.by_piece or any(s in text for s in self.special):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            if waiting and size + len(text) > _WAIT:
+                settle()
+                size = 0
+            waiting.append(i)
+            size += len(text)
+        if waiting:
+            settle()
         return out
 
 

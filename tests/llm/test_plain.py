@@ -83,6 +83,38 @@ def test_words_are_the_models_own():
     assert all(list(g) == w.ids for g, w in zip(e.encode(texts), want, strict=True))
 
 
+def test_new_words_are_asked_for_together():
+    e = tokens.Encoder()
+    bare, batch, calls = e.pieces.bare, e.pieces.batch, []
+    e.pieces.bare = lambda words, **how: calls.append(len(words)) or bare(words, **how)
+    e.pieces.batch = lambda texts, **how: calls.append(len(texts)) or batch(texts, **how)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("aeinrst", k=9)) + rng.choice(["", ",", "2"]) for _ in range(50)) for _ in range(40)]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for n_calls in (2, 2):  # the second time all are remembered
+        assert all(list(g) == w.ids for g, w in zip(e.encode(texts), want, strict=True))
+        assert len(calls) <= n_calls
+
+
+@pytest.mark.parametrize("how", ["as is", "one hash", "parts", "one by one"])
+def test_pieces_of_all_lengths(monkeypatch, how):
+    if how == "one hash":
+        monkeypatch.setattr(tokens._Table, "hashed", staticmethod(lambda key: np.zeros(len(key[0]), np.uint64)))
+    if how == "parts":
+        monkeypatch.setattr(tokens, "_WAIT", 100)
+        monkeypatch.setattr(tokens, "_WAIT_PIECES", 3)
+    e = tokens.Encoder()
+    if how == "one by one":
+        e.pieces.bare = None
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abéß漢,'\0\xa0", (9, 9, 3, 2, 1, 1, 1, 1, 0.2), k=k)) for k in (*range(80), 300)] * 2
+    rng.shuffle(words)
+    texts = [rng.choice([" ", "\n", "  ", "\n\n"]).join(words[a : a + 7]) + rng.choice(["", " ", "\t"]) for a in range(len(words))] + [" ".join(words)]
+    want = [w.ids for w in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [list(x) for x in e.encode(texts)] == want
+
+
 def test_other_vocabularies_get_whole_texts():
     import public_tokenizers
 
