@@ -26,7 +26,7 @@ from .common import col, scratch, tasks_for
 END_ID = 2
 #: A chunk is closed once it holds so many ids (a document is never split over chunks).
 CHUNK_IDS = 8 << 20
-#: Pieces of text whose ids a worker remembers at most, in two generations; a piece takes about 200 bytes.
+#: Pieces of text whose ids a worker remembers at most, in two generations; one of at most 15 bytes takes about 60, a longer one about 130.
 CACHE = 1_000_000
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that the tokenizer never joins: its own splitting respects white space in this way.
@@ -40,6 +40,8 @@ _WAIT, _WAIT_PIECES, _TOGETHER = 1 << 21, 1 << 18, 64
 _SMALL, _LARGE, _PROBES = 2, 8, 32
 #: The last bytes of white space in UTF-8, and of other characters.
 _BLANK_BYTES = np.isin(np.arange(256), [x.encode()[-1] for x in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
+_ALNUM, _SIGN = 1, 2
+_KINDS = np.array([_ALNUM if chr(x).isalnum() else _SIGN if 32 < x < 127 else 0 for x in range(128)] + [0] * 128, np.uint8)
 #: Bytes that no text has, as Python holds them: behind a piece, and where splitting parts one.
 _END, _PART = "\udcff", "\udcfe"
 _NONE = np.zeros(0, np.uint32)
@@ -69,6 +71,25 @@ def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
+def _ends(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a line's end before a word or signs, and of ASCII signs behind a letter or digit: the tokenizer's
+    splitting always parts both from the rest."""
+    if not len(start):
+        return start, start
+    flat = raw[_runs(start, length)]
+    end = np.cumsum(length)
+    at = np.where(_KINDS[flat] == _SIGN, -1, np.arange(len(flat)))
+    last = np.maximum.reduceat(at, end - length)  # not a sign
+    inside = last >= end - length
+    last = np.maximum(last, 0)
+    kind = _KINDS[flat[last]]
+    latin = (last > end - length) & (flat[last - 1] == 0xC3) & (flat[last] != 0x97) & (flat[last] != 0xB7)
+    tail = np.where(inside & ((kind == _ALNUM) | latin), end - 1 - last, 0)
+    second = flat[np.minimum(end - length + 1, end - 1)]
+    head = (flat[end - length] == 10) & (length > 1) & ((_KINDS[second] > 0) | (second == 0xC3))
+    return head.astype(np.int64), tail
+
+
 class _Table:
     """Ids of pieces, found by the pieces' own bytes: ``n_words`` words of 8, the last with the length as its highest byte."""
 
@@ -178,6 +199,7 @@ class _Pieces:
         cut[begin[:-1][begin[:-1] < len(raw)]] = True
         start = np.flatnonzero(cut)
         ids, size, blank = self._ids(data, start, np.diff(start, append=len(raw)))
+        self._forget()
         bound = np.searchsorted(start, begin)
         end = np.concatenate([[0], np.cumsum(size)])[bound]
         blank = np.concatenate([[0], np.cumsum(blank)])[bound]
@@ -191,6 +213,7 @@ class _Pieces:
             some = [x.encode() for x in pieces[at : at + _WAIT_PIECES]]
             size = np.fromiter(map(len, some), np.int64, len(some))
             out.append(self._ids(b"".join(some), np.cumsum(size) - size, size)[0])
+            self._forget()
         return np.concatenate(out)
 
     def _ids(self, data: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,9 +244,11 @@ class _Pieces:
             first[rows], size[rows], blank[rows] = np.cumsum(some) - some + base, some, [bool(_BLANK.search(x)) for x in pieces]
             pool.append(ids)
         ids = np.concatenate(pool)[_runs(first, size)]
+        return ids, size, blank
+
+    def _forget(self) -> None:
         if len(self.known) >= CACHE // 2:
             self.known, self.older = _Generation(), self.known
-        return ids, size, blank
 
     def _learn(self, i: int, data: bytes, start: np.ndarray, length: np.ndarray, key: list[np.ndarray], h: np.ndarray) -> np.ndarray:
         """Take in pieces that aren't remembered in table ``i``; their numbers."""
@@ -237,16 +262,30 @@ class _Pieces:
         size, blank = np.empty(len(one), np.int64), np.empty(len(one), bool)
         was, new = old >= 0, np.flatnonzero(old < 0)
         size[was], blank[was] = older.size[old[was]], older.blank[old[was]]
-        pieces = [data[a : a + n].decode() for a, n in zip(start[one[new]].tolist(), length[one[new]].tolist(), strict=True)]
-        asked, size[new] = self._ask(pieces)
+        at, n_bytes = start[one[new]], length[one[new]]
+        raw = np.frombuffer(data, np.uint8)
+        head, tail = _ends(raw, at, n_bytes)
+        parted = head + tail > 0
+        plain = np.flatnonzero(~parted)
+        pieces = [data[a : a + n].decode() for a, n in zip(at[plain].tolist(), n_bytes[plain].tolist(), strict=True)]
+        asked, size[new[plain]] = self._ask(pieces)
         blank[new] = False
-        for j in np.flatnonzero(_BLANK_BYTES[np.frombuffer(data, np.uint8)[(start + length)[one[new]] - 1]]):
-            blank[new[j]] = bool(_BLANK.search(pieces[j]))
+        for j in np.flatnonzero(_BLANK_BYTES[raw[at[plain] + n_bytes[plain] - 1]]):
+            blank[new[plain[j]]] = bool(_BLANK.search(pieces[j]))
+        made = _NONE
+        if parted.any():  # their parts are pieces, too
+            at, n_bytes, head, tail = at[parted], n_bytes[parted], head[parted], tail[parted]
+            part = np.stack([head, n_bytes - head - tail, tail], axis=1)
+            begin = np.stack([at, at + head, at + n_bytes - tail], axis=1)
+            made, some, _ = self._ids(data, begin[part > 0], part[part > 0])
+            part[part > 0] = some
+            size[new[parted]] = part.sum(axis=1)
         first = np.empty(len(one), np.int64)
         first[was] = older.first[old[was]]
-        first[new] = len(older.ids) + np.cumsum(size[new]) - size[new]
+        for which, base in ((plain, len(older.ids)), (parted, len(older.ids) + len(asked))):
+            first[new[which]] = base + np.cumsum(size[new[which]]) - size[new[which]]
         n = len(table)
-        table.add(key, size, blank, np.concatenate([older.ids, asked])[_runs(first, size)])
+        table.add(key, size, blank, np.concatenate([older.ids, asked, made])[_runs(first, size)])
         return n + same
 
     def _ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
