@@ -36,6 +36,8 @@ _TABLE = 13
 _STATES, _SLOTS = 32, 5
 #: Numbers kept for a state: its bounds and room up to a length that numpy copies at once.
 _WIDE = 8
+#: Steps that the encoder prepares together: their numbers should stay in a core's cache.
+_RUN = 16
 _U = np.uint64
 _LOW16, _HALF = np.uint32(0xFFFF), np.uint32(16)
 _LOW32, _SHORT, _FULL = _U(0xFFFFFFFF), _U(1 << 32), _U(1 << 16 + _FINE)
@@ -164,47 +166,51 @@ def _encode_lanes(blocks: list[np.ndarray], place: np.ndarray, freq: np.ndarray)
             k = k[rk < _SHORT]
 
     for begin, stop in _windows(steps):
-        # all but the coder's own numbers is known beforehand, as the shares stay for a window
-        raw = ids[begin:stop]
-        now = place.take(raw)
-        past = np.concatenate([ahead, now])
-        ahead = past[-2:]
-        where = np.stack([model.hash1.take(past[1:-1]) ^ model.hash2.take(past[:-2]), model.low.take(past[1:-1])], axis=1) + model.base
-        seen = np.empty(where.shape, np.uint32)
-        new, table = now.astype(np.uint32), model.table
-        for t in range(stop - begin):
-            table.take(where[t], out=seen[t], mode="clip")
-            table[where[t]] = (seen[t] << _HALF) | new[t]
-        newer, older = seen & _LOW16, seen >> _HALF
-        known = _state(newer, older)
-        rows = model.mix + ((known[:, 0] << 3) + (known[:, 1] << 1) + (newer[:, 0] == newer[:, 1]).view(np.uint8))
-        slot = np.full(now.shape, _SLOTS - 1, np.uint8)
-        for i, follower in ((3, older[:, 1]), (2, newer[:, 1]), (1, older[:, 0]), (0, newer[:, 0])):  # the first that is right counts
-            np.copyto(slot, i, where=follower == new)
-        escapes = now == 0
-        slot[escapes] = _SLOTS - 1
-        cell = rows * _WIDE + slot
-        start, end = model.flat.take(cell).astype(np.uint64), model.flat.take(cell + 1).astype(np.uint64)
-        k = (slot == _SLOTS - 1).reshape(-1).nonzero()[0]
-        edge = start.take(k)
-        start.reshape(-1)[k], end.reshape(-1)[k] = model.order0(now.take(k), edge, _rest(edge))
-        end -= start
-        if stop > last:  # the last lane is at its end and codes nothing more
-            gone = slice(max(last - begin, 0), None)
-            start[gone, -1], end[gone, -1], escapes[gone, -1] = 0, _FULL, False
-        spelt = escapes.any(axis=1)
-        for t in range(stop - begin):
-            r = rng >> _BITS
-            low += start[t] * r
-            np.multiply(end[t], r, out=rng)
-            settle()
-            if spelt[t]:
-                odd = np.flatnonzero(escapes[t])
-                r = rng[odd] >> _RAW_BITS
-                low[odd] += raw[t, odd].astype(np.uint64) * r
-                rng[odd] = r
+        all_rows, slots = np.empty((stop - begin, lanes), np.int32), np.empty((stop - begin, lanes), np.uint8)
+        for begin_run in range(begin, stop, _RUN):
+            stop_run = min(begin_run + _RUN, stop)
+            # all but the coder's own numbers is known beforehand, as the shares stay for a window
+            raw = ids[begin_run:stop_run]
+            now = place.take(raw)
+            past = np.concatenate([ahead, now])
+            ahead = past[-2:]
+            where = np.stack([model.hash1.take(past[1:-1]) ^ model.hash2.take(past[:-2]), model.low.take(past[1:-1])], axis=1) + model.base
+            seen = np.empty(where.shape, np.uint32)
+            new, table = now.astype(np.uint32), model.table
+            for t in range(stop_run - begin_run):
+                table.take(where[t], out=seen[t], mode="clip")
+                table[where[t]] = (seen[t] << _HALF) | new[t]
+            newer, older = seen & _LOW16, seen >> _HALF
+            known = _state(newer, older)
+            rows = model.mix + ((known[:, 0] << 3) + (known[:, 1] << 1) + (newer[:, 0] == newer[:, 1]).view(np.uint8))
+            slot = np.full(now.shape, _SLOTS - 1, np.uint8)
+            for i, follower in ((3, older[:, 1]), (2, newer[:, 1]), (1, older[:, 0]), (0, newer[:, 0])):  # the first that is right counts
+                np.copyto(slot, i, where=follower == new)
+            escapes = now == 0
+            slot[escapes] = _SLOTS - 1
+            cell = rows * _WIDE + slot
+            start, end = model.flat.take(cell).astype(np.uint64), model.flat.take(cell + 1).astype(np.uint64)
+            k = (slot == _SLOTS - 1).reshape(-1).nonzero()[0]
+            edge = start.take(k)
+            start.reshape(-1)[k], end.reshape(-1)[k] = model.order0(now.take(k), edge, _rest(edge))
+            end -= start
+            if stop_run > last:  # the last lane is at its end and codes nothing more
+                gone = slice(max(last - begin_run, 0), None)
+                start[gone, -1], end[gone, -1], escapes[gone, -1] = 0, _FULL, False
+            spelt = escapes.any(axis=1)
+            for t in range(stop_run - begin_run):
+                r = rng >> _BITS
+                low += start[t] * r
+                np.multiply(end[t], r, out=rng)
                 settle()
-        model.learn(rows, slot)
+                if spelt[t]:
+                    odd = np.flatnonzero(escapes[t])
+                    r = rng[odd] >> _RAW_BITS
+                    low[odd] += raw[t, odd].astype(np.uint64) * r
+                    rng[odd] = r
+                    settle()
+            all_rows[begin_run - begin : stop_run - begin], slots[begin_run - begin : stop_run - begin] = rows, slot
+        model.learn(all_rows, slots)
     for shift in (32, 16, 0):
         out[at] = low >> _U(shift) & _U(0x1FFFF if shift == 32 else 0xFFFF)  # the first with its carry
         at += 1
@@ -247,8 +253,10 @@ def _decode_lanes(lens: np.ndarray, n_digits: np.ndarray, digits: np.ndarray, us
     model = _Model(lanes, freq)
     slots0 = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
     at = np.concatenate([[0], np.cumsum(n_digits)[:-1]])
-    digits = np.concatenate([digits, np.zeros(4, digits.dtype)]).astype(np.uint64)
-    code = (digits[at] << _U(32)) | (digits[at + 1] << _U(16)) | digits[at + 2]
+    digits = np.concatenate([digits, np.zeros(4, digits.dtype)])
+    code = np.zeros(lanes, np.uint64)
+    for i in range(3):
+        code = (code << _U(16)) | digits[at + i]
     at = at + 3
     rng = np.full(lanes, 1 << 48, np.uint64)
     symbols = np.zeros((steps, lanes), np.uint16)

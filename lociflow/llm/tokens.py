@@ -234,7 +234,7 @@ class _Pieces:
                 new = np.flatnonzero(n < 0)
                 if len(new):
                     n[new] = self._learn(i, data, at[new], n_bytes[new], [k[new] for k in key], h[new])
-                first[rows], size[rows], blank[rows] = table.first[n] + base, table.size[n], table.blank[n]
+                first[rows], size[rows], blank[rows] = table.first.take(n) + base, table.size.take(n), table.blank.take(n)
             pool.append(table.ids)
             base += len(table.ids)
         rows = np.flatnonzero(far)  # too long to be worth remembering
@@ -243,7 +243,7 @@ class _Pieces:
             ids, some = self._ask(pieces)
             first[rows], size[rows], blank[rows] = np.cumsum(some) - some + base, some, [bool(_BLANK.search(x)) for x in pieces]
             pool.append(ids)
-        ids = np.concatenate(pool)[_runs(first, size)]
+        ids = np.concatenate(pool).take(_runs(first, size))
         return ids, size, blank
 
     def _forget(self) -> None:
