@@ -49,12 +49,13 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], point: str,
     deep locus. A point has one bin, thus no pair comes twice. Empty spans match nothing.
     """
     b = "__bin"
-    spans = spans.filter(F.col(high) > F.col(low))
+    # outer, and no filter on the ends: Spark would repeat whatever makes them in filters before it, uncompiled if that is long
     cut = F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))
     left = points.withColumn(b, F.floor(F.col(point) / width))
-    right = spans.withColumn(b, F.explode(cut))
-    joined = left.join(right, [*keys, b])
-    return joined.filter((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop(b)
+    right = spans.withColumn(b, F.explode_outer(F.when(F.col(high) > F.col(low), cut)))
+    joined = left.join(right, [b, *keys])
+    inside = (F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))
+    return joined.filter(F.coalesce(inside, F.lit(False))).drop(b)
 
 
 def depth(points: DataFrame, spans: DataFrame, keys: list[str], point: str, low: str, high: str, sums: list[str], width: int = BIN) -> DataFrame:

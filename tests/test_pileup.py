@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
-from lociflow import driver_views
+import pytest
+
+from lociflow import driver_runs, driver_views
 from lociflow.operators import pileup as P
 from tests.test_driver_views import DATA
 
@@ -31,3 +33,17 @@ def test_depth_equals_the_pairs(spark):
 def test_totals_make_no_pairs(spark):
     plan = driver_views.pileup_range_join(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["run_records", "run_marks", "support_types"])
+def test_reads_are_not_parsed_in_filters(spark, name):
+    plan = driver_runs.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter ")]
+    assert filters and not any("M2D" in x or "MIDNSHP" in x for x in filters)
+
+
+def test_empty_and_unplaced_spans_match_nothing(spark):
+    points = spark.createDataFrame([(1, 5), (1, 20), (None, 5)], "k int, at long")
+    spans = spark.createDataFrame([(1, 5, 5), (1, 9, 2), (1, None, 9), (1, 3, None), (None, 0, 9), (1, 4, 21)], "k int, low long, high long")
+    got = P.range_join(points, spans, ["k"], "at", "low", "high", 8).select("k", "at", "low", "high").collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 4, 21), (1, 20, 4, 21)]
