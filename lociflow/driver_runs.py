@@ -165,8 +165,8 @@ _RUN_MARKS_SQL = f"""WITH {_RECORDS}, {_READS}, m AS (SELECT *, pos0 - k AS s, C
 
 def support_types(spark, sf_dir):
     """Reads that support substitutions, insertions and deletions, by allele."""
-    _, rows, _ = E.marked_reads(variants(spark, sf_dir), reads(spark, sf_dir), _config("mark-support", "LQF"))
-    sites = E.P.alleles(E.P.live_variants(variants(spark, sf_dir))).select("variant_id", "alt_idx", "alt", "mut_type")
+    sites, rows, _ = E.marked_reads(variants(spark, sf_dir), reads(spark, sf_dir), _config("mark-support", "LQF"))
+    sites = sites.select("variant_id", "alt_idx", "alt", "mut_type")
     n = rows.groupBy("variant_id", "alt_idx").agg(F.count_if("mark_supports_var").alias("n_support"), F.count("*").alias("n_reads"))
     return sites.join(n, ["variant_id", "alt_idx"], "left").na.fill(0, ["n_support", "n_reads"])
 
